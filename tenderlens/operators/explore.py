@@ -76,15 +76,17 @@ def anova_f(df: DataFrame, columns: list[str], label: str = LABEL) -> DataFrame:
     classes = _long(df, columns, label).filter("value is not null").groupBy(
         "variable", label).agg(
         F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
+    # One row per variable.
     totals = classes.groupBy("variable").agg(
-        F.sum("n").alias("n"), F.count("*").alias("k"),
-        F.sum(F.col("n") * F.col("mean")).alias("s"),
-        F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("q"),
+        F.sum("n").alias("all_n"),
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("all_mean"))
+    gap = F.col("mean") - F.col("all_mean")
+    sums = classes.join(F.broadcast(totals), "variable").groupBy("variable", "all_n").agg(
+        F.count("*").alias("k"), F.sum(F.col("n") * gap * gap).alias("between"),
         F.sum(F.col("n") * F.col("var")).alias("within"))
-    between = F.col("q") - F.col("s") * F.col("s") / F.col("n")
-    score = F.try_divide(F.try_divide(between, F.col("k") - 1),
-                         F.try_divide(F.col("within"), F.col("n") - F.col("k")))
-    return totals.select("variable", score.alias("score"))
+    score = F.try_divide(F.try_divide(F.col("between"), F.col("k") - 1),
+                         F.try_divide(F.col("within"), F.col("all_n") - F.col("k")))
+    return sums.select("variable", score.alias("score"))
 
 
 def chi2_score(df: DataFrame, columns: list[str], label: str = LABEL) -> DataFrame:

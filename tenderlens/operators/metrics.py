@@ -135,13 +135,14 @@ def score(predictions: DataFrame, scoring: tuple[str, ...]) -> dict[str, float]:
 def score_summary(scores: DataFrame) -> DataFrame:
     """Per model: mean fit time, and mean and population deviation of each fold score.
 
-    ``scores`` has one row per (model, fold): fit_time, {train,test}_{accuracy,roc_auc,
-    neg_log_loss}.
+    ``scores`` has one row per (model, fold): fit_time and any of {train,test}_{accuracy,
+    roc_auc,neg_log_loss}.
     """
     short = {"accuracy": "acc", "roc_auc": "auc", "neg_log_loss": "ll"}
     measures = [F.avg("fit_time").alias("time")]
     for part, p in (("test", "tst"), ("train", "tr")):
         for metric, m in short.items():
-            measures += [F.avg(f"{part}_{metric}").alias(f"{p}_{m}"),
-                         F.stddev_pop(f"{part}_{metric}").alias(f"{p}_{m}_std")]
+            if f"{part}_{metric}" in scores.columns:
+                measures += [F.avg(f"{part}_{metric}").alias(f"{p}_{m}"),
+                             F.stddev_pop(f"{part}_{metric}").alias(f"{p}_{m}_std")]
     return scores.groupBy("model").agg(*measures)

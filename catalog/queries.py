@@ -156,7 +156,7 @@ def stats_with_territory(spark, folder):
 
 
 def _similar(spark, folder, key, total, out, side):
-    f = lazy_facts(spark, folder)
+    f = stages(spark, folder).facts
     counts = entities.contract_counts(f, side).withColumnRenamed(side.stats_key, key)
     asked = f.finished_values.select(key, "price").distinct().join(counts, key)
     return similar.similar_price_share(f.finished_values, asked, key, total, out)

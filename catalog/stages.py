@@ -27,13 +27,13 @@ SAMPLE_MODE = "modulo"
 def lazy_facts(spark: SparkSession, folder: str) -> Facts:
     """Facts straight over the given tables; nothing is staged."""
     configure(spark)
-    return Facts.of(star.load(spark, folder, execution=False, pmp=False), star.SETTINGS)
+    return Facts(star.load(spark, folder, execution=False, pmp=False), star.SETTINGS)
 
 
 def full_facts(spark: SparkSession, folder: str) -> Facts:
     """The same with planned end dates and maximum prices."""
     configure(spark)
-    return Facts.of(star.load(spark, folder), star.SETTINGS)
+    return Facts(star.load(spark, folder), star.SETTINGS)
 
 
 @dataclass

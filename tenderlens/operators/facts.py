@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,34 +23,39 @@ def finished_contracts(wh: Warehouse, s: Settings) -> DataFrame:
     return wh.contracts.filter(finished(s) & recent(s))
 
 
-@dataclass(frozen=True)
 class Facts:
-    """The facts every statistic is grouped from.
+    """The facts every statistic is grouped from, each built when first asked for.
 
-    Built lazily, so a single statistic scans only the columns it needs. A job that computes
-    many statistics takes ``staged()``: each fact is then joined once and written once.
+    As lazy plans they let a single statistic scan only the columns it needs. A job that
+    computes many statistics takes ``staged()``: each fact is then joined and written once.
     """
 
-    wh: Warehouse
-    s: Settings
-    recent_values: DataFrame
-    finished_products: DataFrame
-    endings: DataFrame
+    def __init__(self, wh: Warehouse, s: Settings):
+        self.wh, self.s = wh, s
 
-    @classmethod
-    def of(cls, wh: Warehouse, s: Settings) -> "Facts":
-        return cls(wh, s, _recent_values(wh, s), _finished_products(wh, s),
-                   _contract_endings(wh, s))
+    @cached_property
+    def recent_values(self) -> DataFrame:
+        return _recent_values(self.wh, self.s)
 
-    def staged(self) -> "Facts":
-        names = ("recent_values", "finished_products", "endings")
-        return replace(self, **{n: stage(getattr(self, n), n) for n in names})
+    @cached_property
+    def finished_products(self) -> DataFrame:
+        return _finished_products(self.wh, self.s)
+
+    @cached_property
+    def endings(self) -> DataFrame:
+        return _contract_endings(self.wh, self.s)
 
     @property
     def finished_values(self) -> DataFrame:
         """Value rows of finished, recent contracts."""
         return self.recent_values.filter("finished").drop("finished")
 
+    def staged(self) -> "Facts":
+        out = Facts(self.wh, self.s)
+        for name in ("recent_values", "finished_products", "endings"):
+            out.__dict__[name] = stage(getattr(self, name), name)
+        return out
+
 
 def _recent_values(wh: Warehouse, s: Settings) -> DataFrame:
     """Value rows of recent contracts of any stage, with a ``finished`` flag.

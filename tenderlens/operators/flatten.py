@@ -131,23 +131,23 @@ def flatten(rows: DataFrame, codes: list[str], length: int = PREFIX_LENGTH,
             first_only: bool = False, hot: dict[str, list] | None = None) -> DataFrame:
     """One row per contract from rolled-up rows.
 
-    Two grouped passes: rows are folded to (contract, prefix), which yields the distinct
-    prefixes, then to the contract. The supplier's vector joins the folded rows, not the
+    One grouped pass yields the kept row, the row count, the multi-hot codes and the good share
+    per code, from which its range follows. The supplier's vector joins the folded rows, not the
     exploded ones.
     """
     column = prefix_column(length)
     rows = code_shares(rows)
-    rest = [c for c in rows.columns if c not in ("cntrID", column, *ROW_ORDER)]
-    first = F.struct(*ROW_ORDER, F.col(column), *rest)
-    folded = rows.groupBy("cntrID", column).agg(
-        F.count("*").alias("n"), F.min(first).alias("first"),
-        F.min("okpd_good_cntr_share").alias("share"))
-    flat = folded.groupBy("cntrID").agg(
-        F.min("first").alias("first"), F.sum("n").alias("okpd_num"),
-        F.min("share").alias("okpd_good_share_min"),
-        F.avg("share").alias("okpd_good_share_mean"),
-        F.max("share").alias("okpd_good_share_max"),
-        *multi_hot_columns(column, codes))
+    rest = [c for c in rows.columns if c not in ("cntrID", *ROW_ORDER)]
+    shares = [F.max(F.when(F.col(column) == c, F.col("okpd_good_cntr_share"))) for c in codes]
+    grouped = rows.groupBy("cntrID").agg(
+        F.min(F.struct(*ROW_ORDER, *rest)).alias("first"), F.count("*").alias("okpd_num"),
+        F.array(*shares).alias("shares"), *multi_hot_columns(column, codes))
+    known = F.filter("shares", lambda s: s.isNotNull())
+    flat = grouped.withColumns({
+        "okpd_good_share_min": F.array_min("shares"),
+        "okpd_good_share_mean": F.try_divide(
+            F.aggregate(known, F.lit(0.0), lambda a, s: a + s), F.size(known)),
+        "okpd_good_share_max": F.array_max("shares")})
     kept = [c for c in rows.columns if c not in ("cntrID", "okpd_good_cntr_share")]
     flat = flat.select(
         "cntrID", *(F.col(f"first.{c}").alias(c) for c in kept), "okpd_num",

@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from tenderlens.sources.staging import small_table
+from tenderlens.sources.staging import small_table, stage
 
 WANTED = StructType([
     StructField("variable", StringType()), StructField("cell", DoubleType()),
@@ -44,8 +44,10 @@ def totals_before(df: DataFrame, order: str, measures: list[str],
     """Adds ``<measure>_before``: the sum over all rows with a smaller ``order`` value.
 
     ``df`` has one row per distinct value of ``order`` (equal values are folded beforehand, so
-    a value shared by a third of all rows is one row here).
+    a value shared by a third of all rows is one row here). It is staged, as cutting, totals
+    and running totals each read it.
     """
+    df = stage(df, "ordered")
     sliced = _sliced(df, order, cut_points(df, order, slices), "_slice")
     preceding = (Window.rowsBetween(Window.unboundedPreceding, -1))
     per_slice = sliced.groupBy("_slice").agg(*(F.sum(m).alias(m) for m in measures))
@@ -67,7 +69,8 @@ def _brackets(row, column: str, n: int, probabilities: list[float],
     """Disjoint value intervals that hold the wanted ranks: (low, high, probabilities)."""
     if n <= 10 * accuracy:
         return [(-math.inf, math.inf, list(probabilities))]
-    low, high = row[f"{column}_low"], row[f"{column}_high"]
+    found = row[f"{column}_around"]
+    low, high = found[:len(probabilities)], found[len(probabilities):]
     margin = 5 / accuracy
     spans = sorted(
         (-math.inf if p - margin <= 0 else lo, math.inf if p + margin >= 1 else hi, p)
@@ -95,12 +98,12 @@ def exact_percentiles(df: DataFrame, columns: list[str], probabilities: list[flo
     margin = 5 / accuracy
     doubles = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
     values = df.select(*(v.alias(c) for c, v in doubles.items()))
-    lows = F.array(*(F.lit(max(p - margin, 0.0)) for p in probabilities))
-    highs = F.array(*(F.lit(min(p + margin, 1.0)) for p in probabilities))
+    around = [max(p - margin, 0.0) for p in probabilities]
+    around += [min(p + margin, 1.0) for p in probabilities]
     row = values.agg(
         *(F.count(c).alias(f"{c}_n") for c in columns),
-        *(F.percentile_approx(c, lows, accuracy).alias(f"{c}_low") for c in columns),
-        *(F.percentile_approx(c, highs, accuracy).alias(f"{c}_high") for c in columns)).first()
+        *(F.percentile_approx(c, around, accuracy).alias(f"{c}_around")
+          for c in columns)).first()
 
     targets, cells = [], []
     for c in columns:

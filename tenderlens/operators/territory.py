@@ -16,7 +16,7 @@ def federal_subjects(wh: Warehouse, max_depth: int = MAX_DEPTH) -> DataFrame:
     once and the first subject met is the nearest. Territories under no subject, and cycles
     outside the subjects, are never reached and so have no row.
     """
-    return wh.territory.sparkSession.sql(
+    return wh.spark.sql(
         f"""
         WITH RECURSIVE walk(territory, subject) MAX RECURSION LEVEL {max_depth} AS (
             SELECT ID, ID FROM {{subjects}}

@@ -24,6 +24,7 @@ from tenderlens.sources.staging import small_table, stage
 
 SCORING = ("accuracy", "roc_auc", "neg_log_loss")
 MAX_TREE_DEPTH = 30
+ROWS_PER_TASK = 10_000
 
 
 @dataclass(frozen=True)
@@ -113,8 +114,10 @@ def fit_classifier(clf: Classifier, train: DataFrame, spec: FeatureSpec) -> Fitt
     data = encode.vectors(encoded).select(LABEL, "features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = data.count()
+        # Each iteration is a job, so small data should not be spread over many tasks.
+        tasks = max(1, rows // ROWS_PER_TASK)
         start = time.time()
-        model = estimator(clf, rows, len(names)).fit(data)
+        model = estimator(clf, rows, len(names)).fit(data.coalesce(tasks))
         return Fitted(clf, encoding, model, names, time.time() - start)
     finally:
         data.unpersist()

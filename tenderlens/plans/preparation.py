@@ -39,7 +39,7 @@ def prepare(sample: DataFrame, length: int = flatten.PREFIX_LENGTH,
     column = flatten.prefix_column(length)
     rolled = stage(flatten.roll_up_codes(sample, length, hot), "rolled_up")
     codes = flatten.prefix_codes(rolled, column) if codes is None else codes
-    flat = flatten.flatten(rolled, codes, length, first_only, hot)
+    flat = stage(flatten.flatten(rolled, codes, length, first_only, hot), "flat")
     engineered = stage(features.engineer(flat, column), "features")
     cleaned, spec = cleaning.clean(engineered, keep_id=keep_id)
     return Prepared(rolled, flat, engineered, cleaned, codes, spec)

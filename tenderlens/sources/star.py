@@ -22,6 +22,22 @@ SEVERANCE_CODES = (8326974, 8326975, 8361022, 8361023, 8724082, 8724083)
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
+# Declared, so that opening a table reads no file footers.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
 
 def _cents(column: str) -> Column:
     return F.round(F.col(column) * 100).cast("long")
@@ -111,6 +127,13 @@ def penalties(lines: DataFrame) -> DataFrame:
                     F.when(F.col("l_linenumber") != 7, accrual).alias("Accrual")))
 
 
+def okpd2(part: DataFrame) -> DataFrame:
+    code = F.concat(F.upper(F.substring("p_type", 1, 2)), F.lit("."),
+                    F.lpad(F.regexp_extract("p_brand", r"(\d+)$", 1), 2, "0"))
+    return part.select("p_type", "p_brand").distinct().select(
+        _okpd_id().alias("ID"), code.alias("Code")).distinct()
+
+
 def territory(region: DataFrame, nation: DataFrame) -> DataFrame:
     regions = region.select((1000 + F.col("r_regionkey")).alias("ID"),
                             F.lit(None).cast("int").alias("ParentID"))
@@ -130,35 +153,32 @@ def load(spark: SparkSession, root: str, execution: bool = True, pmp: bool = Tru
     both cost an extra join here that column pruning cannot remove.
     """
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{root}/{name}.parquet")
-
-    orders, lines, customer = table("orders"), table("lineitem"), table("customer")
-    part, nation, region = table("part"), table("nation"), table("region")
-    code = F.concat(F.upper(F.substring("p_type", 1, 2)), F.lit("."),
-                    F.lpad(F.regexp_extract("p_brand", r"(\d+)$", 1), 2, "0"))
-    reasons = small_table(spark, [(c, c) for c in (0, *SEVERANCE_CODES)], SOURCE["termin_reason"])
-    return Warehouse(
-        contracts=contracts(orders, lines, execution),
-        value=value(orders, lines, customer, part, pmp),
-        product=lines.select(F.col("l_orderkey").alias("RefContract"),
-                             F.col("l_partkey").alias("RefProduct"),
-                             F.col("l_suppkey").alias("RefSupplier")),
-        products=part.select(F.col("p_partkey").alias("ID"), _okpd_id().alias("RefOKPD2")),
-        okpd2=part.select(_okpd_id().alias("ID"), code.alias("Code")).distinct(),
-        suppliers=table("supplier").select(
-            F.col("s_suppkey").alias("ID"),
-            F.when(F.col("s_suppkey") % 5 != 0,
-                   10000 + 10 * F.col("s_nationkey") + F.col("s_suppkey") % 3)
-            .cast("int").alias("RefTerritory")),
-        org=customer.select(
+        return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}.parquet")
+
+    builders = {
+        "contracts": lambda: contracts(table("orders"), table("lineitem"), execution),
+        "value": lambda: value(table("orders"), table("lineitem"), table("customer"),
+                               table("part"), pmp),
+        "product": lambda: table("lineitem").selectExpr(
+            "l_orderkey AS RefContract", "l_partkey AS RefProduct", "l_suppkey AS RefSupplier"),
+        "products": lambda: table("part").select(F.col("p_partkey").alias("ID"),
+                                                 _okpd_id().alias("RefOKPD2")),
+        "okpd2": lambda: okpd2(table("part")),
+        "suppliers": lambda: table("supplier").selectExpr(
+            "s_suppkey AS ID",
+            "CAST(IF(s_suppkey % 5 <> 0, 10000 + 10 * s_nationkey + s_suppkey % 3, NULL) AS INT) "
+            "AS RefTerritory"),
+        "org": lambda: table("customer").select(
             F.col("c_custkey").alias("ID"),
             _position("c_mktsegment", SEGMENTS).alias("RefTypeOrg"),
             F.when(F.col("c_custkey") % 100 != 0, 100 + F.col("c_nationkey"))
             .cast("int").alias("RefTerritory")),
-        closures=closures(lines),
-        termin_reason=reasons,
-        penalties=penalties(lines),
-        territory=territory(region, nation),
-        fed_subject=region.select((1000 + F.col("r_regionkey")).alias("ID"),
-                                  F.col("r_name").alias("Name")),
-    )
+        "closures": lambda: closures(table("lineitem")),
+        "termin_reason": lambda: small_table(
+            spark, [(c, c) for c in (0, *SEVERANCE_CODES)], SOURCE["termin_reason"]),
+        "penalties": lambda: penalties(table("lineitem")),
+        "territory": lambda: territory(table("region"), table("nation")),
+        "fed_subject": lambda: table("region").selectExpr("1000 + r_regionkey AS ID",
+                                                          "r_name AS Name"),
+    }
+    return Warehouse(spark, lambda name: builders[name]())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +25,9 @@ WAREHOUSE_NAMES = {
 }
 
 
-@dataclass(frozen=True)
 class Warehouse:
+    """The twelve tables as attributes; each is opened when it is first asked for."""
+
     contracts: DataFrame
     value: DataFrame
     product: DataFrame
@@ -40,26 +41,34 @@ class Warehouse:
     territory: DataFrame
     fed_subject: DataFrame
 
-    @classmethod
-    def names(cls) -> list[str]:
-        return [f.name for f in fields(cls)]
+    def __init__(self, spark: SparkSession, open_table: Callable[[str], DataFrame]):
+        self.spark = spark
+        self._open = open_table
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SOURCE:
+            raise AttributeError(name)
+        table = self._open(name)
+        setattr(self, name, table)
+        return table
 
 
 def read_parquet(spark: SparkSession, root: str) -> Warehouse:
     """``<root>/<table>`` Parquet folders with the declared schemas (no inference)."""
-    return Warehouse(**{
-        name: spark.read.schema(SOURCE[name]).parquet(f"{root}/{name}")
-        for name in Warehouse.names()
-    })
+    return Warehouse(
+        spark, lambda name: spark.read.schema(SOURCE[name]).parquet(f"{root}/{name}"))
 
 
 def read_tables(spark: SparkSession, names: dict[str, str] | None = None) -> Warehouse:
     """Catalog tables, by default under the names the warehouse uses."""
     names = {**WAREHOUSE_NAMES, **(names or {})}
-    return Warehouse(**{
-        name: spark.table(names[name]).select(*SOURCE[name].fieldNames())
-        for name in Warehouse.names()
-    })
+    return Warehouse(
+        spark, lambda name: spark.table(names[name]).select(*SOURCE[name].fieldNames()))
+
+
+def of_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> Warehouse:
+    """A warehouse over DataFrames that exist already."""
+    return Warehouse(spark, tables.__getitem__)
 
 
 def read_jdbc(spark: SparkSession, url: str, options: dict[str, str] | None = None,
@@ -80,4 +89,4 @@ def read_jdbc(spark: SparkSession, url: str, options: dict[str, str] | None = No
                       .option("upperBound", high).option("numPartitions", parts))
         return reader.load().select(*SOURCE[name].fieldNames())
 
-    return Warehouse(**{name: load(name) for name in Warehouse.names()})
+    return Warehouse(spark, load)

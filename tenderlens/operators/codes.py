@@ -40,7 +40,8 @@ def supplier_customer_contracts(f: Facts) -> DataFrame:
     return (f.finished_values
             .groupBy(F.col("supID").alias("SupID"), F.col("orgID").alias("OrgID"))
             .agg(F.count("*").alias("cntr_num"))
-            .join(suppliers, "SupID", "left_semi").join(customers, "OrgID", "left_semi"))
+            .join(suppliers, "SupID", "left_semi").join(customers, "OrgID", "left_semi")
+            .select("SupID", "OrgID", "cntr_num"))
 
 
 def contract_codes(f: Facts) -> DataFrame:

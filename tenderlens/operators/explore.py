@@ -157,8 +157,8 @@ def clipped_histogram(df: DataFrame, columns: list[str], bins: int = 10,
                  clip(F.col(f"`{c}`").cast("double"), float(lo), float(hi)).alias("value"))
         for c, (lo, hi) in limits.items()))
     width = (F.col("high") - F.col("low")) / bins
-    position = F.least(F.floor(F.try_divide(F.col("value") - F.col("low"), width)),
-                       F.lit(bins - 1))
+    position = F.when(width > 0, F.least(
+        F.floor(F.try_divide(F.col("value") - F.col("low"), width)), F.lit(bins - 1)))
     return (df.select(F.explode(cells).alias("x")).select("x.*").filter("value is not null")
             .withColumn("bin", F.coalesce(position, F.lit(0)).cast("int"))
             .groupBy("variable", "bin", "low", "high").agg(F.count("*").alias("count"))

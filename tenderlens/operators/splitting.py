@@ -26,7 +26,7 @@ def train_valid_split(df: DataFrame, valid_percent: int = 20, key: str = ROW_ID,
 def random_split(df: DataFrame, valid_percent: int = 20,
                  seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The same without a key; repeatable only while the partitioning is."""
-    train, valid = df.randomSplit([100 - valid_percent, valid_percent], seed)
+    train, valid = df.randomSplit([100.0 - valid_percent, float(valid_percent)], seed)
     return train, valid
 
 

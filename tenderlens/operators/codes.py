@@ -14,7 +14,7 @@ def code_stats(f: Facts) -> DataFrame:
     the dictionary of codes joins.
     """
     labels = f.endings.select("cntrID", "label").join(
-        f.recent_values.select("cntrID"), "cntrID", "left_semi")
+        f.recent_values.select("cntrID").distinct(), "cntrID", "left_semi")
     good = F.when(F.col("label") == 0, F.col("lines"))
     codes = f.wh.okpd2.select(F.col("ID").alias("OkpdID"), F.col("Code").alias("code"))
     return (f.finished_products.groupBy("cntrID", F.col("okpdID").alias("OkpdID"))

@@ -14,7 +14,8 @@ def contract_labels(f: Facts) -> DataFrame:
     A contract is good (0) when its highest closure code is 0 and bad (1) otherwise; it has no
     label without a closure or without a value row.
     """
-    valued = f.wh.value.select(F.col("RefContract").alias("cntrID"))
+    # Distinct first: a contract with very many value rows is one key in the shuffle.
+    valued = f.wh.value.select(F.col("RefContract").alias("cntrID")).distinct()
     endings = f.endings.join(valued, "cntrID", "left_semi")
     return (finished_contracts(f.wh, f.s).select(F.col("ID").alias("cntrID")).distinct()
             .join(endings, "cntrID", "left")

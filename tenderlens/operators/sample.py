@@ -62,7 +62,7 @@ def chosen_values(f: Facts, labels: DataFrame, mode: str = "hash",
         F.col("ID").alias("cntrID"), F.col("RegNum").alias("cntr_reg_num"),
         F.col("RefSignDate").alias("sign_date"), F.col("RefExecution").alias("exec_date"),
         F.col("RefTypePurch").alias("purch_type")).join(picked, "cntrID")
-    priced = f.finished_values.filter("price > 0").select("cntrID")
+    priced = f.finished_values.filter("price > 0").select("cntrID").distinct()
     contracts = contracts.join(priced, "cntrID", "left_semi")
     return f.finished_values.join(contracts, "cntrID").filter("cntr_result = 0 or price > 0")
 

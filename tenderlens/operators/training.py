@@ -151,14 +151,17 @@ def cross_validate(clf: Classifier, df: DataFrame, spec: FeatureSpec, k: int = 3
     """
     folded = stratified_folds(df, k).persist(StorageLevel.MEMORY_AND_DISK)
     rows, held_out = [], None
-    for i in range(k):
-        train = folded.filter(F.col("fold") != i).drop("fold")
-        test = folded.filter(F.col("fold") == i).drop("fold")
-        fitted = fit_classifier(clf, train, spec)
-        row, predictions = _score_parts(fitted, train, test, scoring)
-        rows.append({"model": clf.short_name, "fold": i, **row})
-        predictions = predictions.withColumn("fold", F.lit(i))
-        held_out = predictions if held_out is None else held_out.unionByName(predictions)
+    try:
+        for i in range(k):
+            train = folded.filter(F.col("fold") != i).drop("fold")
+            test = folded.filter(F.col("fold") == i).drop("fold")
+            fitted = fit_classifier(clf, train, spec)
+            row, predictions = _score_parts(fitted, train, test, scoring)
+            rows.append({"model": clf.short_name, "fold": i, **row})
+            predictions = predictions.withColumn("fold", F.lit(i))
+            held_out = predictions if held_out is None else held_out.unionByName(predictions)
+    finally:
+        folded.unpersist()
     return _score_table(df.sparkSession, rows), held_out
 
 

@@ -30,10 +30,12 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the written table.
 
     Cuts the lineage, so a lost executor re-reads files instead of recomputing the plan, and
-    gives the planner true sizes: sides that fit are broadcast, others are shuffled.
+    gives the planner true sizes: sides that fit are broadcast, others are shuffled. All stages
+    of an application lie in one folder, which may be deleted when it has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tenderlens/{name}-{uuid.uuid4().hex}"
+    application = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/tenderlens/{application}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -130,7 +130,8 @@ def build_sample(f: Facts, stats: Statistics, mode: str = "hash",
     value IDs are and because codes are distinct per contract.
     """
     hot = hot_parties(f) if hot is None else hot
-    subjects = federal_subjects(f.wh)
+    # The walk runs a job per level; both parties read its result.
+    subjects = stage(federal_subjects(f.wh), "subjects")
     values = stage(price_flags(chosen_values(f, stats.cntr_stats, mode, existing), f.s),
                    "chosen_values")
     rows = join_lookup(values, supplier_profile(f, stats, subjects), ["supID"], hot)

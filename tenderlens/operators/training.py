@@ -146,22 +146,19 @@ def cross_validate(clf: Classifier, df: DataFrame, spec: FeatureSpec, k: int = 3
                    scoring: tuple[str, ...] = SCORING) -> tuple[DataFrame, DataFrame]:
     """(scores per fold, out-of-fold predictions of all folds).
 
-    Encoding and model are refitted per fold on the other folds. ``df`` is read many times and
-    is best a staged table. The loop runs over k folds; the data never leave the cluster.
+    Encoding and model are refitted per fold on the other folds. The folds are staged; the loop
+    runs over k of them and the data never leave the cluster.
     """
-    folded = stratified_folds(df, k).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = stage(stratified_folds(df, k), "folds")
     rows, held_out = [], None
-    try:
-        for i in range(k):
-            train = folded.filter(F.col("fold") != i).drop("fold")
-            test = folded.filter(F.col("fold") == i).drop("fold")
-            fitted = fit_classifier(clf, train, spec)
-            row, predictions = _score_parts(fitted, train, test, scoring)
-            rows.append({"model": clf.short_name, "fold": i, **row})
-            predictions = predictions.withColumn("fold", F.lit(i))
-            held_out = predictions if held_out is None else held_out.unionByName(predictions)
-    finally:
-        folded.unpersist()
+    for i in range(k):
+        train = folded.filter(F.col("fold") != i).drop("fold")
+        test = folded.filter(F.col("fold") == i).drop("fold")
+        fitted = fit_classifier(clf, train, spec)
+        row, predictions = _score_parts(fitted, train, test, scoring)
+        rows.append({"model": clf.short_name, "fold": i, **row})
+        predictions = predictions.withColumn("fold", F.lit(i))
+        held_out = predictions if held_out is None else held_out.unionByName(predictions)
     return _score_table(df.sparkSession, rows), held_out
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tenderlens.functions.scalars import flag, prefix, ratio
 from tenderlens.operators.skew import join_lookup
+from tenderlens.sources.staging import stage
 
 ROW_ORDER = ("okpdID", "valID", "supID", "orgID")
 PREFIX_LENGTH = 2
@@ -70,9 +71,10 @@ def roll_up_codes(rows: DataFrame, length: int = PREFIX_LENGTH,
     column = prefix_column(length)
     rows = add_prefix(rows, length)
     order = rows.columns
-    # One row per prefix of fixed length: far fewer than codes.
+    # One row per prefix. Staged, so that the planner sees its size and need not shuffle the
+    # rows by prefix when it fits a broadcast.
     out = rows.drop("okpd_cntr_num", "okpd_good_cntr_num").join(
-        code_totals(rows, column), column)
+        stage(code_totals(rows, column), "code_totals"), column)
     out = join_lookup(out.drop("sup_okpd_cntr_num"), supplier_code_totals(rows, column),
                       ["supID", column], _hot_with(hot, column, rows))
     return out.select(*order)

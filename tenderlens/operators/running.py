@@ -31,12 +31,20 @@ def cut_points(df: DataFrame, column: str, slices: int = SLICES) -> list[float]:
     return sorted(set(found))
 
 
-def _sliced(df: DataFrame, column: str, cuts: list[float], out: str) -> DataFrame:
-    """Number of cut points at or below the value, by binary search inside the JVM."""
-    if not cuts:
-        return df.withColumn(out, F.lit(0.0))
-    splits = [-math.inf, *cuts, math.inf]
-    return Bucketizer(splits=splits, inputCol=column, outputCol=out).transform(df)
+def _sliced(df: DataFrame, cuts: dict[str, list[float]], out: str) -> DataFrame:
+    """Adds, per column, the number of cut points at or below the value.
+
+    ``out`` is the name of the new column with ``{}`` for the column it belongs to. The search is
+    binary and runs inside the JVM.
+    """
+    cut = [c for c, points in cuts.items() if points]
+    whole = {out.format(c): F.lit(0.0) for c, points in cuts.items() if not points}
+    df = df.withColumns(whole) if whole else df
+    if not cut:
+        return df
+    return Bucketizer(
+        inputCols=cut, outputCols=[out.format(c) for c in cut], handleInvalid="keep",
+        splitsArray=[[-math.inf, *cuts[c], math.inf] for c in cut]).transform(df)
 
 
 def totals_before(df: DataFrame, order: str, measures: list[str],
@@ -48,7 +56,7 @@ def totals_before(df: DataFrame, order: str, measures: list[str],
     and running totals each read it.
     """
     df = stage(df, "ordered")
-    sliced = _sliced(df, order, cut_points(df, order, slices), "_slice")
+    sliced = _sliced(df, {order: cut_points(df, order, slices)}, "_slice")
     preceding = (Window.rowsBetween(Window.unboundedPreceding, -1))
     per_slice = sliced.groupBy("_slice").agg(*(F.sum(m).alias(m) for m in measures))
     # At most ``slices`` rows: safe for one task and for a broadcast.
@@ -105,28 +113,28 @@ def exact_percentiles(df: DataFrame, columns: list[str], probabilities: list[flo
         *(F.percentile_approx(c, around, accuracy).alias(f"{c}_around")
           for c in columns)).first()
 
-    targets, cells = [], []
+    targets, cells, cuts = [], [], {}
     for c in columns:
         n = row[f"{c}_n"]
         if n == 0:
             continue
         brackets = _brackets(row, c, n, probabilities, accuracy)
         # Bracket j covers slice j + 1 when its low end cuts, slice j when it starts at -inf.
-        cuts = [lo for lo, _, _ in brackets if lo != -math.inf]
+        cuts[c] = [lo for lo, _, _ in brackets if lo != -math.inf]
         first = 0 if brackets[0][0] == -math.inf else 1
-        values = _sliced(values, c, cuts, f"_{c}_cell")
-        inside = F.lit(False)
+        cell = F.col(f"_{c}_cell")
+        position = (cell - first).cast("int")
         tops = F.array(*(F.lit(hi) for _, hi, _ in brackets))
-        position = (F.col(f"_{c}_cell") - first + 1).cast("int")
-        inside = F.when(position >= 1, F.col(c) <= F.get(tops, position - 1)).otherwise(inside)
+        inside = (position >= 0) & (F.col(c) <= F.get(tops, position))
         cells.append(F.struct(
-            F.lit(c).alias("variable"), F.col(f"_{c}_cell").alias("cell"),
-            F.when(inside, F.col(c)).alias("value"), F.col(c).isNotNull().alias("known")))
+            F.lit(c).alias("variable"), cell.alias("cell"), F.when(inside, F.col(c)).alias("value"),
+            F.col(c).isNotNull().alias("known")))
         for j, (_, _, ps) in enumerate(brackets):
             for p in ps:
                 h = p * (n - 1)
                 targets.append((c, float(j + first), float(p), math.floor(h), math.ceil(h),
                                 h - math.floor(h)))
+    values = _sliced(values, cuts, "_{}_cell")
     spark = df.sparkSession
     wanted = small_table(spark, targets, WANTED)
     if not targets:

@@ -101,8 +101,9 @@ def customer_profile(f: Facts, stats: Statistics, subjects: DataFrame) -> DataFr
 
 
 def hot_parties(f: Facts) -> dict[str, list]:
-    """Suppliers, customers and prices that hold a large share of the value rows."""
-    return hot_keys(f.finished_values, ["supID", "orgID", "price"])
+    """Suppliers, customers, prices and codes that hold a large share of the rows."""
+    return {**hot_keys(f.finished_values, ["supID", "orgID", "price"]),
+            **hot_keys(f.finished_products, ["okpdID"])}
 
 
 def with_similar_shares(df: DataFrame, f: Facts, asked: DataFrame,
@@ -149,9 +150,10 @@ def build_sample(f: Facts, stats: Statistics, mode: str = "hash",
 def refresh_similar_shares(sample: DataFrame, f: Facts,
                            hot: dict[str, list] | None = None) -> DataFrame:
     """Fills the similar-price shares of rows that lack one; other rows are left alone."""
+    hot = hot_parties(f) if hot is None else hot
     names = ["sup_sim_price_share", "org_sim_price_share"]
 
     def compute(part: DataFrame) -> DataFrame:
-        return with_similar_shares(part.drop(*names), f, part, hot or {})
+        return with_similar_shares(part.drop(*names), f, part, hot)
 
     return refresh_missing(sample, names, compute)

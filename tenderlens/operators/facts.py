@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenderlens.settings import Settings
-from tenderlens.sources.staging import stage
+from tenderlens.sources.staging import stage_all
 from tenderlens.sources.warehouse import Warehouse
 
 
@@ -52,8 +52,8 @@ class Facts:
 
     def staged(self) -> "Facts":
         out = Facts(self.wh, self.s)
-        for name in ("recent_values", "finished_products", "endings"):
-            out.__dict__[name] = stage(getattr(self, name), name)
+        names = ("recent_values", "finished_products", "endings")
+        out.__dict__.update(stage_all({n: getattr(self, n) for n in names}))
         return out
 
 

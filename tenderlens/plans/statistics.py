@@ -9,7 +9,7 @@ from tenderlens.operators.facts import Facts
 from tenderlens.operators.labels import contract_labels
 from tenderlens.operators.sample import Statistics
 from tenderlens.sources.schemas import DERIVED
-from tenderlens.sources.staging import append, create_table, stage
+from tenderlens.sources.staging import append, create_table, stage_all
 
 
 def statistics(f: Facts) -> Statistics:
@@ -26,7 +26,7 @@ def statistics(f: Facts) -> Statistics:
 
 def staged_statistics(f: Facts) -> Statistics:
     """The same tables written once; each is read several times by later stages."""
-    return Statistics(**{name: stage(df, name) for name, df in vars(statistics(f)).items()})
+    return Statistics(**stage_all(vars(statistics(f))))
 
 
 def refresh_tables(spark: SparkSession, f: Facts, database: str) -> None:

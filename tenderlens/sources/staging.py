@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_all(frames: dict[str, DataFrame], at_a_time: int = 4) -> dict[str, DataFrame]:
+    """Stages tables that do not depend on each other; a few jobs share the cluster at a time."""
+    with ThreadPoolExecutor(at_a_time) as pool:
+        staged = list(pool.map(lambda item: stage(item[1], item[0]), frames.items()))
+    return dict(zip(frames, staged))
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
     """A handful of literal rows as a local relation, whose size the planner knows."""
     columns = list(zip(*rows)) if rows else [[] for _ in schema.fields]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,19 +13,29 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+@lru_cache(maxsize=None)
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="tenderlens-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own; on a cluster a folder
-    of one machine would not survive the loss of that machine, so this is an error there.
+    Only a local session without that setting gets a folder of its own, one per application; on a
+    cluster a folder of one machine would not survive the loss of that machine, so there the
+    setting must be given and name a file system.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.split("[")[0] == "local"
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not local:
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        folder = tempfile.mkdtemp(prefix="tenderlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        return _own_folder(spark.sparkContext.applicationId)
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if not local and "://" not in folder and not folder.startswith("file:") \
+            and default.startswith("file:"):
+        raise ValueError(f"spark.checkpoint.dir names no file system: {folder}")
+    return folder.rstrip("/")
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

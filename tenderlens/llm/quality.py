@@ -136,7 +136,7 @@ SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
 ), words AS (
-  SELECT r, list_filter(regexp_split_to_array(text, '{_SPACES}'), x -> x <> '') AS w FROM d
+  SELECT r, regexp_extract_all(text, '{_WORD}') AS w FROM d
 ), word AS (
   SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM words
 ), windows AS (
@@ -150,7 +150,7 @@ WITH d AS (
 ), lines AS (
   SELECT r, unnest(string_split(text, chr(10))) AS line FROM d
 ), used AS (
-  SELECT r, line, len(list_filter(regexp_split_to_array(line, '{_SPACES}'), x -> x <> '')) AS w,
+  SELECT r, line, len(regexp_extract_all(line, '{_WORD}')) AS w,
          length(regexp_replace(line, '{_SPACES}', '', 'g')) AS chars,
          {_count("line", "[|>»›]")} AS separators,
          length(line) - length(replace(line, '!!', ' ')) AS shouts,

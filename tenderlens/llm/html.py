@@ -177,7 +177,7 @@ def parse(html: str) -> Node:
                     break
                 if open_name in CONTAINERS:
                     break
-        label = f"{name}.{'-'.join(names)}" if names or furniture and name in INLINE else name
+        label = f"{name}.{'-'.join(names) or 'hidden'}" if names or furniture else name
         node = Node(label, furniture or name in DROPPED)
         stack[-1].kids.append(node)
         stack.append(node)

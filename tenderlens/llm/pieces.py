@@ -50,6 +50,10 @@ class ChunkCodec:
         self.size = np.fromiter(map(len, surfaces), np.int64, size)
         self.at = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(surfaces), np.uint8)
+        # The marker alone is a chunk at the end of a text; the library has no text for it.
+        self.marker = [self.model.piece_to_id(MARK)]
+        if self.marker == [self.model.unk_id()]:
+            raise ValueError("the marker is no piece")
         self.begin, self.end = self.model.bos_id(), self.model.eos_id()
 
     def encode(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +82,7 @@ class ChunkCodec:
         distinct = [raw[a + 1:b].decode() for a, b in
                     zip(starts[first].tolist(), limits[first].tolist())]
         table = self.model.encode(distinct, num_threads=1) if distinct else []
+        table = [ids or self.marker for ids in table]
         sizes = np.fromiter(map(len, table), np.int64, len(table))
         flat = np.fromiter((i for ids in table for i in ids), np.uint32, int(sizes.sum()))
         joined, _ = gather(flat, np.cumsum(sizes) - sizes, sizes, which)

@@ -22,10 +22,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tenderlens.llm.texts import (
-    NOT_SPACE, SpanHash, Texts, byte_set, equal_neighbours, per_slice, utf8, window_hashes)
+    NOT_SPACE, SpanHash, Texts, byte_set, equal_neighbours, filter_rows, per_slice, utf8,
+    window_hashes)
 
 MIN_WORDS = 10
 MAX_REPEATED = 20
@@ -118,10 +119,9 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return utf8(docs, key, text).mapInArrow(per_slice(_measure), SCHEMA)
 
 
-def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents whose verdict is ``kept``, with their columns and texts as they are."""
-    good = quality(docs, key, text).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(good.distinct(), docs[key] == good["_kept_id"], "left_semi")
+    return filter_rows(docs, text, lambda bodies: _measure([None] * len(bodies), bodies)["kept"])
 
 
 _WORD = r"[^\x20\x09-\x0D]+"

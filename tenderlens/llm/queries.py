@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderlens.llm import chat, html, lengths, licenses, pieces, quality, warc
+from tenderlens.llm import (
+    chat, decontaminate, html, jaccard, lengths, licenses, pieces, quality, suffixes, warc)
 from tenderlens.llm.texts import bounded_batches
 
 
@@ -20,6 +21,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"),
+                               table(spark, folder, "benchmark"))
+
+
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -36,6 +42,10 @@ def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(table(spark, folder, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar(table(spark, folder, "documents"), width=4, percent=85)
+
+
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).select(
         "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -55,14 +65,21 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op10_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digests(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_main_text": op3_main_text,
     "op4_quality": op4_quality,
     "op5_licenses": op5_licenses,
+    "op6_jaccard": op6_jaccard,
     "op7_warc": op7_warc,
     "op8_token_counts": op8_token_counts,
     "op9_chat": op9_chat,
+    "op10_suffixes": op10_suffixes,
 }
 
 ORACLE = {

@@ -30,20 +30,23 @@ def total_bytes(docs: DataFrame) -> int:
 
 
 def sharded(docs: DataFrame, total: int, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
-    """``utf8`` rows with their shard, and the number of shards."""
+    """``utf8`` rows (and further columns) with their shard, and the number of shards."""
     shards = max(1, -(-total // shard_bytes))
-    return docs.select(
-        "doc_id", "body", F.pmod(F.xxhash64("doc_id", F.octet_length("body")), F.lit(shards))
-        .cast("int").alias("shard")), shards
+    return docs.withColumn("shard", F.pmod(
+        F.xxhash64("doc_id", F.octet_length("body")), F.lit(shards)).cast("int")), shards
 
 
-def rows_of(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+def order_of(table: pa.Table) -> tuple[np.ndarray, list[bytes], list[int]]:
     """Ids and bodies of a shard, always in the same order: by id, then by body."""
     ids = table.column("doc_id").to_pylist()
     bodies = table.column("body").to_pylist()
     keys = [NO_ID if i is None else i for i in ids]
     order = sorted(range(len(keys)), key=lambda i: (keys[i], bodies[i]))
-    return np.array([keys[i] for i in order], np.int64), [bodies[i] for i in order]
+    return np.array([keys[i] for i in order], np.int64), [bodies[i] for i in order], order
+
+
+def rows_of(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    return order_of(table)[:2]
 
 
 def buckets_for(tokens: int, bucket_tokens: int = BUCKET_TOKENS) -> int:

@@ -26,11 +26,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tenderlens.llm.sharing import (
-    NO_ID, SHARD_BYTES, Shared, announce, buckets_for, compared, distinct, rows_of, sharded,
-    total_bytes, ANNOUNCED)
+    NO_ID, SHARD_BYTES, Shared, announce, buckets_for, compared, distinct, order_of, rows_of,
+    sharded, total_bytes, ANNOUNCED)
 from tenderlens.llm.texts import SpanHash, Texts, bounded_batches, slices, utf8
 
 U64 = np.uint64
@@ -124,7 +124,7 @@ def _cut_out(buckets: int, parts: int):
                 t = Texts(bodies[low:high])
                 begin, size = t.start[row] + start, strings + WIDTH - 1
                 found.append((SpanHash(t.data).of(begin, begin + size), value, row + low, start,
-                              size, begin, [t.data.tobytes()] * 1, len(found)))
+                              size, begin, t.data.tobytes()))
             if found:
                 out = _deal(found, ids, key[0].as_py(), parts)
         names = [f.split()[0] for f in SENT.split(",")]
@@ -138,7 +138,7 @@ def _deal(found: list, ids: np.ndarray, shard: int, parts: int) -> list[tuple]:
     hashed, value, row, start, size, begin = (np.concatenate([f[i] for f in found])
                                               for i in range(6))
     source = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-    datas = [f[6][0] for f in found]
+    datas = [f[6] for f in found]
     part = (value >> U64(32)) * U64(parts) >> U64(32)
     # By part, minimizer and content; the first of equal segments is sent.
     order = np.lexsort((hashed, value))
@@ -431,16 +431,16 @@ def _digest(key, table, answers):
 
 
 def _text(key, table, answers):
-    rows = [(r[0], r[1], r[2], r[4].decode(errors="ignore"))
-            for r in _kept(*rows_of(table), answers)] if table.num_rows else []
-    return pa.table([pa.array(c, t) for c, t in zip(
-        zip(*rows) if rows else [[]] * 4, [pa.int64()] * 3 + [pa.string()])],
-        names=["doc_id", "n_bytes", "n_removed", "kept"])
+    if not table.num_rows:
+        return pa.table({"kept": pa.array([], pa.string()), "rest": table.column("rest")})
+    ids, bodies, order = order_of(table)
+    kept = [r[4].decode(errors="ignore") for r in _kept(ids, bodies, answers)]
+    return pa.table({"kept": pa.array(kept, pa.string()),
+                     "rest": table.column("rest").combine_chunks().take(pa.array(order))})
 
 
-def _apply(docs, key, text, finish, schema, shard_bytes, block) -> DataFrame:
-    bounded_batches(docs.sparkSession)
-    rows = utf8(docs, key, text)
+def _apply(rows, finish, schema, shard_bytes, block) -> DataFrame:
+    bounded_batches(rows.sparkSession)
     total = total_bytes(rows)
     shards, count = sharded(rows, total, shard_bytes)
     buckets = buckets_for(2 * total // (WIDTH - GRAM + 2))
@@ -454,11 +454,20 @@ def _apply(docs, key, text, finish, schema, shard_bytes, block) -> DataFrame:
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text",
             shard_bytes: int = SHARD_BYTES, block: int = BLOCK) -> DataFrame:
     """doc_id, bytes, removed bytes, maximal removed runs and digest of what is kept."""
-    return _apply(docs, key, text, _digest, DIGESTS, shard_bytes, block)
+    return _apply(utf8(docs, key, text), _digest, DIGESTS, shard_bytes, block)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text",
                  shard_bytes: int = SHARD_BYTES, block: int = BLOCK) -> DataFrame:
-    """doc_id, bytes, removed bytes and the kept text of every row."""
-    return _apply(docs, key, text, _text,
-                  "doc_id long, n_bytes long, n_removed long, kept string", shard_bytes, block)
+    """All rows and columns, with the kept text; a null text becomes empty."""
+    others = [c for c in docs.columns if c != text]
+    rest = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
+    rows = docs.select(
+        F.col(f"`{key}`").cast("long").alias("doc_id"),
+        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("body"),
+        rest.alias("rest"))
+    kind = T.StructType([T.StructField("kept", T.StringType()), rows.schema["rest"]])
+    out = _apply(rows, _text, kind, shard_bytes, block)
+    return out.select(*(
+        F.col("kept").alias(text) if c == text
+        else F.col(f"rest.c{others.index(c)}").alias(c) for c in docs.columns))

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Bytes of text that are worked on at a time; a longer text is worked on alone.
@@ -167,3 +168,21 @@ def per_slice(work):
                 out = work(keys[low:high], bodies[low:high])
                 yield pa.RecordBatch.from_pydict(out)
     return run
+
+
+def filter_rows(docs: DataFrame, text: str, keep) -> DataFrame:
+    """The rows whose text bytes pass, with all columns as they are, in one pass.
+
+    ``keep(bodies)`` gives a boolean for each text; a null text is empty.
+    """
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            column = pc.fill_null(batch.column(at).cast(pa.string()), "")
+            bodies = [x.encode() for x in column.to_pylist()]
+            marks = [keep(bodies[low:high]) for low, high in slices(bodies)]
+            if marks:
+                yield batch.filter(pa.array(np.concatenate(marks)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ Two texts link when 100 * intersection >= percent * union of their sets of n-gra
    for its own size and for that of a larger partner.
 3. Candidates. Documents with a common signature are tied to one centre per signature, first within
    a shard, then across shards; what hangs together is a cluster, and no link leaves it. A
-   signature of a third of all documents is one row per shard.
+   signature of a third of all documents is one row per shard. Equal texts are compared as one.
 4. Verification. A cluster of at most ``CLUSTER_DOCS`` documents and ``CLUSTER_TOKENS`` tokens is
    compared as a whole in one task by matrix products. A larger one is cut into blocks: all blocks
    are compared with ``PIVOTS`` documents with the fewest tokens of their own; documents that are
@@ -45,7 +45,7 @@ from tenderlens.sources.staging import stage
 
 U64 = np.uint64
 SLICE = 1 << 20
-SAMPLED = 0.3
+SAMPLED = 0.25
 FREQUENT = 64
 CLUSTER_DOCS = 1024
 CLUSTER_TOKENS = 1 << 21
@@ -420,20 +420,42 @@ def representatives(docs: DataFrame, width: int, percent: int, key: str = "doc_i
                  .filter("component_id is not null and not component_id <=> doc_id")
                  .select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash"))
                  .distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
+    gone = _small(gone)
     body = F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary")
     named = docs.withColumn("_text_hash", F.xxhash64(body))
     return named.join(gone, docs[key].cast("long").eqNullSafe(gone["_gone"])
                       & (named["_text_hash"] == gone["_hash"]), "left_anti").drop("_text_hash")
 
 
-def _members(docs: DataFrame, width: int, percent: int, key: str, text: str,
-             shard_bytes: int = SHARD_BYTES, frequent: int = FREQUENT,
-             cluster_docs: int = CLUSTER_DOCS, pivots: int = PIVOTS,
-             block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its number of rows is within the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _members(docs: DataFrame, width: int, percent: int, key: str, text: str, **sizes) -> DataFrame:
+    """Set size, component and text hash of every row. Equal texts are compared once."""
     bounded_batches(docs.sparkSession)
-    rows = utf8(docs, key, text).withColumn("hash", F.xxhash64("body"))
+    rows = utf8(docs, key, text).withColumn("hash", F.xxhash64("body")) \
+        .withColumn("digest", F.md5("body"))
+    copies = _small(stage(rows.groupBy("digest").agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+        .filter("copies > 1").drop("copies"), "copies"))
+    marked = rows.join(copies, "digest", "left")
+    first = marked.filter("least is null or doc_id = least").select("doc_id", "body", "hash")
+    found = stage(_compared(first, width, percent, **sizes), "members")
+    others = marked.filter("least is not null and not doc_id <=> least").select(
+        F.col("doc_id"), F.col("least"), F.col("hash").alias("text_hash"))
+    of_copies = _small(stage(
+        found.join(copies.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        .withColumnRenamed("doc_id", "least").distinct(), "of_copies"))
+    copied = others.join(of_copies, ["least", "text_hash"]).drop("least").withColumn(
+        "component_id", F.expr("if(n_shingles = 0, doc_id, component_id)"))
+    return found.unionByName(copied)
+
+
+def _compared(rows: DataFrame, width: int, percent: int, shard_bytes: int = SHARD_BYTES,
+              frequent: int = FREQUENT, cluster_docs: int = CLUSTER_DOCS, pivots: int = PIVOTS,
+              block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     total = total_bytes(rows)
     shards, _ = sharded(rows, total, shard_bytes)
     by_shard = shards.groupBy("shard")
@@ -455,14 +477,15 @@ def _members(docs: DataFrame, width: int, percent: int, key: str, text: str,
                  .groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("size").alias("size")),
                  "clusters")
     small = (F.col("docs") <= cluster_docs) & (F.col("size") <= CLUSTER_TOKENS)
-    member = cluster.join(size, "cluster")
+    member = stage(cluster.join(size, "cluster"), "member")
     bundles = max(1, total // shard_bytes)
-    labels = (live.join(member.filter(small).select("node", "cluster"), "node")
+    labels = (live.join(_small(member.filter(small).select("node", "cluster")), "node")
               .withColumn("bundle", F.pmod(F.xxhash64("cluster"), F.lit(bundles)))
               .select("bundle", "cluster", "node", "doc_id", "n", "tokens")
               .groupBy("bundle").applyInArrow(_whole(percent), "node long, component_id long"))
     if not size.filter(~small).isEmpty():
-        large = stage(live.join(member.filter(~small).select("node", "cluster"), "node"), "large")
+        large = stage(live.join(_small(member.filter(~small).select("node", "cluster")), "node"),
+                      "large")
         labels = labels.unionByName(_large(large, percent, pivots, block_tokens))
     return documents.join(labels, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

@@ -95,8 +95,9 @@ def _compare(table: pa.Table) -> pa.Table:
     at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     total = np.add.reduceat((joined & U64(65535)).astype(np.int64), at)
     shared = total > 1
-    token, total = token[at][shared].astype(np.uint32), np.minimum(total[shared], 65535)
-    total = total.astype(np.uint16)
+    token = token[at][shared].astype(np.uint32)
+    # Answers need the size of a count only: the largest power of two in it.
+    total = np.log2(total[shared]).astype(np.uint8)
     out = []
     for shard, own in zip(table.column("shard").to_pylist(), low):
         place_ = np.searchsorted(token, own)
@@ -130,21 +131,21 @@ class Shared:
 
     def __init__(self, table: pa.Table, buckets: int):
         self.buckets = buckets
-        keys, times = [np.zeros(0, U64)], [np.zeros(0, np.uint16)]
+        keys, times = [np.zeros(0, U64)], [np.zeros(0, np.uint8)]
         for bucket, low, n in zip(*(table.column(c).to_pylist()
                                     for c in ("bucket", "low", "times"))):
             keys.append(np.frombuffer(low, np.uint32).astype(U64) | U64(bucket) << U64(32))
-            times.append(np.frombuffer(n, np.uint16))
+            times.append(np.frombuffer(n, np.uint8))
         keys, times = np.concatenate(keys), np.concatenate(times)
         order = np.argsort(keys)
         self.keys, self.times = keys[order], times[order]
 
     def count(self, tokens: np.ndarray) -> np.ndarray:
-        """Documents that have each token; 0 for those that are not shared."""
+        """Documents that have each token, rounded down to a power of two; 0 if not shared."""
         if not len(self.keys):
             return np.zeros(len(tokens), np.int64)
         bucket, low = place(tokens, self.buckets)
         key = low.astype(U64) | bucket.astype(U64) << U64(32)
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.times[at], 0).astype(np.int64)
+        return np.where(self.keys[at] == key, np.left_shift(1, self.times[at].astype(np.int64)), 0)

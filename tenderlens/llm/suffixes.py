@@ -6,7 +6,8 @@ id. Only strings that may stand in two documents are sorted:
 1. Every string has a minimizer, the least hash of the ``GRAM``-byte grams in it; equal strings
    have equal minimizers. ``sharing`` finds the minimizers that two documents have.
 2. Strings next to each other with the same, shared minimizer are cut out as one segment; segments
-   are dealt by minimizer, so equal strings meet. Equal segments of a shard are sent once.
+   are dealt by minimizer, so equal strings meet. Equal segments of a shard are sent once. Strings
+   of a minimizer that very many documents have are dealt one by one, by their own hash.
 3. Where they meet, distinct segments are laid end to end in blocks of at most ``BLOCK`` bytes.
    Each block gets a suffix array by Larsson-Sadakane refinement (sorted to the depth WIDTH, only
    groups that still agree are sorted again) and Kasai's common prefixes, made in lanes; neighbours with
@@ -37,6 +38,8 @@ U64 = np.uint64
 WIDTH = 50
 GRAM = 20
 BLOCK = 1 << 18
+#: Documents from which on a minimizer's strings are dealt by their own hash.
+HOT = 1 << 14
 SLICE = 1 << 20
 
 SENT = "part int, shard int, body binary, size binary, least binary, doc binary, copy binary"
@@ -108,8 +111,12 @@ def _spans(data: bytes, start: np.ndarray, size: np.ndarray) -> bytes:
     return b"".join([data[a:a + n] for a, n in zip(start.tolist(), size.tolist())])
 
 
-def _cut_out(buckets: int, parts: int):
-    """Segments with shared minimizers, dealt by minimizer; equal ones of a shard once."""
+def _cut_out(buckets: int, parts: int, hot: int):
+    """Segments with shared minimizers, dealt by minimizer; equal ones of a shard once.
+
+    A minimizer of ``hot`` documents or more would fill a part: its strings are sent one by one
+    and dealt by their own hash, which stands in the minimizer's place.
+    """
     def run(key, table, answers):
         out = []
         if table.num_rows and answers.num_rows:
@@ -117,14 +124,25 @@ def _cut_out(buckets: int, parts: int):
             shared = Shared(answers, buckets)
             found = []
             for low, high, (row, start, strings, value) in _all_segments(bodies):
-                use = shared.count(value) > 0
+                times = shared.count(value)
+                use = times > 0
                 if not use.any():
                     continue
+                times = times[use]
                 row, start, strings, value = row[use], start[use], strings[use], value[use]
                 t = Texts(bodies[low:high])
+                many = times >= hot
+                if many.any():
+                    n = np.where(many, strings, 1)
+                    last = np.cumsum(n)
+                    start = np.repeat(start, n) + np.arange(int(last[-1])) \
+                        - np.repeat(last - n, n)
+                    row, value, many = (np.repeat(x, n) for x in (row, value, many))
+                    strings = np.repeat(np.where(times >= hot, 1, strings), n)
                 begin, size = t.start[row] + start, strings + WIDTH - 1
-                found.append((SpanHash(t.data).of(begin, begin + size), value, row + low, start,
-                              size, begin, t.data.tobytes()))
+                hashed = SpanHash(t.data).of(begin, begin + size)
+                value = np.where(many, hashed, value)
+                found.append((hashed, value, row + low, start, size, begin, t.data.tobytes()))
             if found:
                 out = _deal(found, ids, key[0].as_py(), parts)
         names = [f.split()[0] for f in SENT.split(",")]
@@ -345,57 +363,39 @@ def _judge(block: int):
         column = {c: table.column(c).to_pylist() for c in table.column_names}
         size = [np.frombuffer(x, np.uint32).astype(np.int64) for x in column["size"]]
         value = np.concatenate([np.frombuffer(x, U64) for x in column["least"]])
-        docs = [np.frombuffer(x, np.int64) for x in column["doc"]]
+        doc = np.concatenate([np.frombuffer(x, np.int64) for x in column["doc"]])
         copies = [np.frombuffer(x, np.uint32).astype(np.int64).reshape(3, -1)
                   for x in column["copy"]]
         counts = [len(s) for s in size]
-        base = np.cumsum(counts) - counts
-        size = np.concatenate(size)
-        doc = np.concatenate(docs)
+        each = [c.shape[1] for c in copies]
         row, start, which = (np.concatenate([c[i] for c in copies]) for i in range(3))
-        which = which + np.repeat(base, [len(d) for d in docs])
-        source = np.repeat(np.arange(n), [len(d) for d in docs])
-        body = np.frombuffer(b"".join(column["body"]), np.uint8)
-        del column["body"]
-        # Distinct segments over all shards, sorted by minimizer.
-        ends = np.cumsum(size)
-        hashed = SpanHash(body).of(ends - size, ends)
-        order = np.lexsort((hashed, value))
-        new = np.append(True, (hashed[order][1:] != hashed[order][:-1])
-                        | (value[order][1:] != value[order][:-1]))
-        number = np.empty(len(size), np.int64)
-        number[order] = np.cumsum(new) - 1
-        kept = order[new]
-        raw = body.tobytes()
-        joined = np.frombuffer(_spans(raw, (ends - size)[kept], size[kept]), np.uint8)
-        del raw, body
-        which = number[which]
-        least = np.full(len(kept), NO_ID, np.int64)
-        np.minimum.at(least, which, doc)
-        first = first_documents(joined, size[kept], value[kept], least, block)
-        # Every copy's strings against its own document id.
-        strings = size[kept] - WIDTH + 1
-        at = np.cumsum(size[kept]) - size[kept]
-        out = []
-        for s in range(n):
-            own = source == s
-            own_row, own_start, own_which, own_doc = row[own], start[own], which[own], doc[own]
-            n_strings = strings[own_which]
-            last = np.cumsum(n_strings)
-            offset = np.arange(int(last[-1])) - np.repeat(last - n_strings, n_strings)
-            gone = first[np.repeat(at[own_which], n_strings) + offset] \
-                < np.repeat(own_doc, n_strings)
-            copy = np.repeat(np.arange(len(own_row)), n_strings)[gone]
-            offset = offset[gone]
-            if not len(offset):
-                continue
-            begins = np.append(True, (copy[1:] != copy[:-1]) | (offset[1:] != offset[:-1] + 1))
-            head = np.flatnonzero(begins)
-            tail = np.append(head[1:], len(offset)) - 1
-            out.append((column["shard"][s], own_row[copy[head]].astype(np.uint32).tobytes(),
-                        (own_start[copy[head]] + offset[head]).astype(np.uint32).tobytes(),
-                        (own_start[copy[head]] + offset[tail] + WIDTH).astype(np.uint32)
-                        .tobytes()))
+        which = which + np.repeat(np.cumsum(counts) - counts, each)
+        source = np.repeat(np.arange(n), each)
+        size = np.concatenate(size)
+        at = np.cumsum(size) - size
+        body = b"".join(column["body"])
+        del column["body"], copies
+        # Equal strings have equal minimizers: one range of minimizers after the other.
+        order = np.argsort(value, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        by_copy = np.argsort(place[which], kind="stable")
+        copy_place = place[which[by_copy]]
+        found = []
+        for low, high in _ranges(value[order], size[order], 4 * block):
+            chosen = order[low:high]
+            a, b = np.searchsorted(copy_place, (low, high))
+            own = by_copy[a:b]
+            gone = _judge_range(body, at[chosen], size[chosen], value[chosen],
+                                copy_place[a:b] - low, doc[own], start[own], block)
+            found.append((source[own][gone[0]], row[own][gone[0]], *gone[1:]))
+        source, row, start, stop = (np.concatenate([f[i] for f in found]) for i in range(4))
+        by = np.argsort(source, kind="stable")
+        source, row, start, stop = (x[by] for x in (source, row, start, stop))
+        edges = np.searchsorted(source, np.arange(n + 1))
+        out = [(column["shard"][s], *(x[a:b].astype(np.uint32).tobytes()
+                                      for x in (row, start, stop)))
+               for s, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
         names = [f.split()[0] for f in ANSWER.split(",")]
         kinds = [pa.int32()] + [pa.binary()] * 3
         return pa.table([pa.array(c, t) for c, t in
@@ -403,6 +403,66 @@ def _judge(block: int):
     return run
 
 
+def _ranges(value: np.ndarray, size: np.ndarray, limit: int):
+    """Ranges of segments of about ``limit`` bytes; the segments of a minimizer stay together."""
+    new = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+    ends = np.cumsum(size)
+    low = 0
+    while low < len(value):
+        high = int(np.searchsorted(ends, ends[low] - size[low] + limit, "right"))
+        k = int(np.searchsorted(new, max(high, low + 1)))
+        # Back to the start of a minimizer, or on to the next one if there is none.
+        cut = int(new[k - 1]) if high < len(value) and int(new[k - 1]) > low else \
+            int(new[k]) if k < len(new) else len(value)
+        cut = len(value) if high >= len(value) else cut
+        yield low, cut
+        low = cut
+
+
+def _judge_range(body: bytes, at, size, value, which, doc, start, block):
+    """(copy, start, stop) of what goes, for copies ``which`` of the given segments."""
+    data = np.frombuffer(_spans(body, at, size), np.uint8)
+    ends = np.cumsum(size)
+    hashed = SpanHash(data).of(ends - size, ends)
+    order = np.lexsort((hashed, value))
+    new = np.append(True, (hashed[order][1:] != hashed[order][:-1])
+                    | (value[order][1:] != value[order][:-1]))
+    number = np.empty(len(size), np.int64)
+    number[order] = np.cumsum(new) - 1
+    kept = order[new]
+    data = np.frombuffer(_spans(body, at[kept], size[kept]), np.uint8)
+    which = number[which]
+    least = np.full(len(kept), NO_ID, np.int64)
+    np.minimum.at(least, which, doc)
+    first = first_documents(data, size[kept], value[kept], least, block)
+    # Every copy's strings against its own document id.
+    strings = size[kept] - WIDTH + 1
+    base = np.cumsum(size[kept]) - size[kept]
+    out = []
+    total = np.cumsum(strings[which])
+    cuts = np.searchsorted(total, np.arange(0, int(total[-1]) + (1 << 20), 1 << 20), "right")
+    cuts = np.unique(np.append(cuts, len(which)))
+    for a, b in zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist()):
+        if b <= a:
+            continue
+        n_strings = strings[which[a:b]]
+        last = np.cumsum(n_strings)
+        offset = np.arange(int(last[-1])) - np.repeat(last - n_strings, n_strings)
+        gone = first[np.repeat(base[which[a:b]], n_strings) + offset] \
+            < np.repeat(doc[a:b], n_strings)
+        copy = np.repeat(np.arange(a, b), n_strings)[gone]
+        offset = offset[gone]
+        if not len(offset):
+            continue
+        head = np.flatnonzero(
+            np.append(True, (copy[1:] != copy[:-1]) | (offset[1:] != offset[:-1] + 1)))
+        tail = np.append(head[1:], len(offset)) - 1
+        out.append((copy[head], start[copy[head]] + offset[head],
+                    start[copy[head]] + offset[tail] + WIDTH))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *(o[i] for o in out)]) for i in range(3))
+
+
 def _kept(ids, bodies, answers):
     """Id, bytes, removed bytes, removed runs and kept bytes of each row of a shard."""
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
@@ -439,26 +499,26 @@ def _text(key, table, answers):
                      "rest": table.column("rest").combine_chunks().take(pa.array(order))})
 
 
-def _apply(rows, finish, schema, shard_bytes, block) -> DataFrame:
+def _apply(rows, finish, schema, shard_bytes, block, hot) -> DataFrame:
     bounded_batches(rows.sparkSession)
     total = total_bytes(rows)
     shards, count = sharded(rows, total, shard_bytes)
     buckets = buckets_for(2 * total // (WIDTH - GRAM + 2))
     by_shard = shards.groupBy("shard")
     answers = compared(by_shard.applyInArrow(_announce(buckets), ANNOUNCED))
-    sent = by_shard.cogroup(answers.groupBy("shard")).applyInArrow(_cut_out(buckets, count), SENT)
+    sent = by_shard.cogroup(answers.groupBy("shard")).applyInArrow(_cut_out(buckets, count, hot), SENT)
     ranges = sent.groupBy("part").applyInArrow(_judge(block), ANSWER)
     return by_shard.cogroup(ranges.groupBy("shard")).applyInArrow(finish, schema)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text",
-            shard_bytes: int = SHARD_BYTES, block: int = BLOCK) -> DataFrame:
+            shard_bytes: int = SHARD_BYTES, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, bytes, removed bytes, maximal removed runs and digest of what is kept."""
-    return _apply(utf8(docs, key, text), _digest, DIGESTS, shard_bytes, block)
+    return _apply(utf8(docs, key, text), _digest, DIGESTS, shard_bytes, block, hot)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                 shard_bytes: int = SHARD_BYTES, block: int = BLOCK) -> DataFrame:
+                 shard_bytes: int = SHARD_BYTES, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """All rows and columns, with the kept text; a null text becomes empty."""
     others = [c for c in docs.columns if c != text]
     rest = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
@@ -467,7 +527,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("body"),
         rest.alias("rest"))
     kind = T.StructType([T.StructField("kept", T.StringType()), rows.schema["rest"]])
-    out = _apply(rows, _text, kind, shard_bytes, block)
+    out = _apply(rows, _text, kind, shard_bytes, block, hot)
     return out.select(*(
         F.col("kept").alias(text) if c == text
         else F.col(f"rest.c{others.index(c)}").alias(c) for c in docs.columns))

@@ -335,7 +335,8 @@ def planted(texts):
     return rows + [(9100 + i, f"{i} intro {cut[20:150]} outro {i * 7}") for i in range(60)]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 20_000, "block": 2000}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 20_000, "block": 2000},
+                                   {"shard_bytes": 50_000, "hot": 4, "block": 500}])
 def test_suffixes_match_brute_force(spark, texts, sizes):
     rows = planted(texts)
     docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, rest string")

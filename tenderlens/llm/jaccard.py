@@ -13,14 +13,14 @@ Two texts link when 100 * intersection >= percent * union of their sets of n-gra
    which is a signature, or two of the same class, whose combination is a signature. The number
    of classes follows the size of the larger text (a power of two), so a text writes combinations
    for its own size and for that of a larger partner.
-3. Candidates. Documents with a common signature are tied to one centre per signature, first within
-   a shard, then across shards; what hangs together is a cluster, and no link leaves it. A
-   signature of a third of all documents is one row per shard. Equal texts are compared as one.
-4. Verification. A cluster of at most ``CLUSTER_DOCS`` documents and ``CLUSTER_TOKENS`` tokens is
-   compared as a whole in one task by matrix products. A larger one is cut into blocks: all blocks
-   are compared with ``PIVOTS`` documents with the fewest tokens of their own; documents that are
-   not in the cluster's largest component then are compared with all blocks in chunks. Only links
-   are written; pairs that are connected already are not compared.
+3. Ties. Documents with a common signature are tied to one centre per signature, first within a
+   shard, then across shards (a signature of a third of all documents is one row per shard). Ties
+   are verified, which joins most groups of copies without comparing all their pairs.
+4. Pairs. What is left are documents with a common signature in different components. They are
+   joined by signature with the positional bound as condition: tokens before the first common one
+   are not common. A group that has been joined makes no pairs, and neither do documents whose own
+   tokens alone exceed what a partner may lack. Pairs are verified, and all links give the
+   components. Equal texts are compared as one.
 
 The result does not depend on any of these sizes. Every row is a document of its own, also with a
 repeated id; ``component_id`` is the least id. Null ids count as absent for that; a null or empty
@@ -47,15 +47,11 @@ U64 = np.uint64
 SLICE = 1 << 20
 SAMPLED = 0.25
 FREQUENT = 64
-CLUSTER_DOCS = 1024
-CLUSTER_TOKENS = 1 << 21
-PIVOTS = 256
-BLOCK_TOKENS = 1 << 19
 #: Rows of 16 bytes that are broadcast at most; more are shuffled.
 BROADCAST_ROWS = 1 << 20
 
-FOUND = """kind int, bucket int, node long, doc_id long, n long, other long, priority long,
-    tokens binary, more binary"""
+FOUND = """kind int, bucket int, node long, doc_id long, n long, other long, own long,
+    tokens binary, more binary, signatures array<long>, places array<long>"""
 DOC, LIVE, EDGE, SIGNATURES = range(4)
 
 
@@ -130,24 +126,27 @@ def classes(level: int, percent: int) -> int:
 
 
 def signatures(tokens: np.ndarray, times: np.ndarray, percent: int,
-               frequent: int = FREQUENT) -> np.ndarray:
-    """Signatures of one text from its tokens and the number of documents that have each."""
+               frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one text from its tokens and the number of documents that have each, and how
+    many of its tokens cannot be common if the signature is the first thing in common: those
+    before a single token, or those that stand nowhere else."""
     n = len(tokens)
     free = int(slack(np.array([n]), percent)[0])
     rank = np.where(times < 2, 0, np.where(times <= frequent, 1, 2))
     order = np.lexsort((mix(tokens), rank))
     unshared = int((rank == 0).sum())
-    out = []
+    out, places = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     largest = 100 * n // percent
     for level in range(n.bit_length() - 1, largest.bit_length()):
         extra = classes(level, percent)
-        prefix = order[unshared:free + 1 + extra]
-        often = rank[prefix] == 2
+        place = np.arange(unshared, min(n, free + 1 + extra))
+        prefix = order[place]
+        single = (rank[prefix] < 2) | (extra == 0)
+        out.append(mix(tokens[prefix[single]]))
+        places.append(place[single])
         if not extra:
-            out.append(mix(tokens[prefix]))
             continue
-        out.append(mix(tokens[prefix[~often]]))
-        token = np.sort(tokens[prefix[often]])
+        token = np.sort(tokens[prefix[~single]])
         group = (mix(token + U64(1)) % U64(extra)).astype(np.int64)
         by = np.argsort(group, kind="stable")
         token, group = token[by], group[by]
@@ -156,12 +155,17 @@ def signatures(tokens: np.ndarray, times: np.ndarray, percent: int,
             if not same.any():
                 break
             out.append(mix(mix(token[:-step][same] + U64(level)) + token[step:][same]))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
+            places.append(np.full(len(out[-1]), unshared))
+    out, places = np.concatenate(out), np.concatenate(places)
+    order = np.lexsort((places, out))
+    out, places = out[order], places[order]
+    new = np.append(True, out[1:] != out[:-1])[:len(out)]
+    return out[new], places[new]
 
 
 def _table(rows: list[tuple]) -> pa.Table:
     names = [f.split()[0] for f in FOUND.split(",")]
-    kinds = [pa.int32()] * 2 + [pa.int64()] * 5 + [pa.binary()] * 2
+    kinds = [pa.int32()] * 2 + [pa.int64()] * 5 + [pa.binary()] * 2 + [pa.list_(pa.int64())] * 2
     return pa.table([pa.array(c, t) for c, t in
                      zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
 
@@ -188,7 +192,7 @@ def _find(width: int, percent: int, sample_buckets: int, buckets: int, sig_bucke
         hashed = table.column("hash").to_numpy()[order].tolist()
         del bodies
         base = shard << 32
-        out = [(DOC, None, base | i, None if d == NO_ID else d, n, h, None, None, None)
+        out = [(DOC, None, base | i, None if d == NO_ID else d, n, h, None, None, None, None, None)
                for i, (d, n, h) in enumerate(zip(ids.tolist(), sizes.tolist(), hashed))]
         sample, full = (Shared(a, b) for a, b in zip(_split(answers), (sample_buckets, buckets)))
         alive = _possible(tokens, sizes, sample, percent)
@@ -201,22 +205,24 @@ def _find(width: int, percent: int, sample_buckets: int, buckets: int, sig_bucke
         sig, node = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(alive).tolist():
             a, b = int(ends[i] - sizes[i]), int(ends[i])
-            found = signatures(tokens[a:b], times[a:b], percent, frequent)
+            found, places = signatures(tokens[a:b], times[a:b], percent, frequent)
             sig.append(found)
             node.append(np.full(len(found), base | i, np.int64))
             shared = tokens[a:b][times[a:b] > 1]
             out.append((LIVE, None, base | i, None if ids[i] == NO_ID else int(ids[i]), b - a,
-                        None, int(own[i]), shared.tobytes(), None))
+                        None, int(own[i]), shared.tobytes(), None, found.astype(np.int64),
+                        places))
         sig, node = np.concatenate(sig), np.concatenate(node)
         sig, centre, priority, ties = _star(sig, node, own[node & 0xFFFFFFFF])
-        out += [(EDGE, None, a, None, None, b, None, None, None) for a, b in ties.tolist()]
+        out += [(EDGE, None, a, None, None, b, None, None, None, None, None)
+                for a, b in ties.tolist()]
         bucket = ((sig >> U64(32)) * U64(sig_buckets) >> U64(32)).astype(np.int64)
         edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(sig)) \
             if len(sig) else np.zeros(1, np.int64)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             out.append((SIGNATURES, int(bucket[a]), None, None, None, None, None,
                         sig[a:b].tobytes(),
-                        np.stack([centre[a:b], priority[a:b]]).tobytes()))
+                        np.stack([centre[a:b], priority[a:b]]).tobytes(), None, None))
         return _table(out)
     return run
 
@@ -230,178 +236,58 @@ def _tie(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(ties[:, 0], pa.int64()), "b": pa.array(ties[:, 1], pa.int64())})
 
 
-def _common(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
-    """Sizes of the intersections of all sets on the left with all on the right (or the left)."""
-    sets = left + (right or [])
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    tokens = np.concatenate(sets) if sets else np.zeros(0, U64)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(tokens)
-    new = np.append(True, tokens[order][1:] != tokens[order][:-1])[:len(tokens)]
-    column = np.cumsum(new) - 1
-    count = np.bincount(column) if len(column) else np.zeros(0, np.int64)
-    # Tokens of one set alone do not count.
-    keep = count > 1
-    number = np.cumsum(keep) - 1
-    use = keep[column]
-    row, column = row[order][use], number[column][use]
-    total = np.zeros((len(left), len(right) if right is not None else len(left)), np.float32)
-    width = max(64, (1 << 22) // max(1, len(sets)))
-    at = np.searchsorted(column, np.arange(0, int(keep.sum()) + width, width))
-    for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-        part = np.zeros((len(sets), width), np.float32)
-        part[row[a:b], column[a:b] - k * width] = 1
-        mine = part[:len(left)]
-        total += mine @ (part[len(left):] if right is not None else mine).T
-    return total.astype(np.int64)
-
-
-def linked(common: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * common >= percent * (left[:, None] + right[None, :] - common)
-
-
-def _unite(links: np.ndarray) -> np.ndarray:
-    """Component (its first member) of each row of a symmetric matrix of links."""
-    root = np.full(len(links), -1, np.int64)
-    for i in range(len(links)):
-        if root[i] >= 0:
-            continue
-        reached = np.zeros(len(links), bool)
-        reached[i] = True
-        fresh = reached
-        while fresh.any():
-            fresh = links[fresh].any(0) & ~reached
-            reached = reached | fresh
-        root[reached] = i
-    return root
-
-
-def _whole(percent: int):
-    """Clusters that are compared as a whole: the component of each of their documents."""
-    def run(table):
-        cluster = table.column("cluster").to_numpy()
-        node, size = table.column("node").to_numpy(), table.column("n").to_numpy()
-        ids = [NO_ID if d is None else d for d in table.column("doc_id").to_pylist()]
-        tokens = table.column("tokens").to_pylist()
-        ids = np.array(ids, np.int64)
-        order = np.lexsort((node, cluster))
-        edges = np.append(np.flatnonzero(
-            np.append(True, cluster[order][1:] != cluster[order][:-1])), len(order))
-        nodes, found = [], []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            own = order[a:b]
-            if b - a < 2:
-                continue
-            common = _common([np.frombuffer(tokens[i], U64) for i in own.tolist()])
-            links = linked(common, size[own], size[own], percent)
-            root = _unite(links)
-            least = np.full(len(own), NO_ID, np.int64)
-            np.minimum.at(least, root, ids[own])
-            nodes += node[own].tolist()
-            found += [None if x == NO_ID else x for x in least[root].tolist()]
-        return pa.table({"node": pa.array(nodes, pa.int64()),
-                         "component_id": pa.array(found, pa.int64())})
+def _verify(percent: int):
+    """The pairs that link."""
+    def run(batches):
+        for batch in batches:
+            a, b, n_a, n_b = (batch.column(c).to_numpy() for c in ("a", "b", "n_a", "n_b"))
+            common = np.fromiter((
+                len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), True))
+                for x, y in zip(batch.column("t_a").to_pylist(), batch.column("t_b").to_pylist())),
+                np.int64, len(a))
+            good = 100 * common >= percent * (n_a + n_b - common)
+            yield pa.RecordBatch.from_pydict({"a": a[good], "b": b[good]})
     return run
 
 
-def _cross(percent: int):
-    """Links of a block's documents with a chunk's."""
-    def run(table):
-        side = table.column("side").to_numpy()
-        node, size = table.column("node").to_numpy(), table.column("n").to_numpy()
-        sets = [np.frombuffer(x, U64) for x in table.column("tokens").to_pylist()]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(left) or not len(right):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        common = _common([sets[i] for i in left], [sets[i] for i in right])
-        a, b = _spanning(linked(common, size[left], size[right], percent))
-        both = np.concatenate([node[left], node[right]])
-        a, b = both[a], both[b]
-        return pa.table({"a": pa.array(a[a != b]), "b": pa.array(b[a != b])})
-    return run
+def _possible_pair(percent: int, place_a: str, place_b: str) -> str:
+    """SQL condition: the tokens behind the places suffice for a link."""
+    return f"{100 + percent} * least(n_a - {place_a}, n_b - {place_b}) >= {percent} * (n_a + n_b)"
 
 
-def _spanning(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ties of every linked row and column (numbered behind the rows) to the first row of its
-    component, instead of all links."""
-    rows, columns = links.shape
-    left = ~links.any(1)
-    ties, firsts = [], []
-    for i in range(rows):
-        if left[i]:
-            continue
-        mine = np.zeros(rows, bool)
-        mine[i] = True
-        other = np.zeros(columns, bool)
-        fresh = mine
-        while fresh.any():
-            other |= links[fresh].any(0)
-            fresh = links[:, other].any(1) & ~mine
-            mine |= fresh
-        left |= mine
-        members = np.append(np.flatnonzero(mine), rows + np.flatnonzero(other))
-        ties.append(members)
-        firsts.append(np.full(len(members), i))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *ties]), np.concatenate([none, *firsts])
-
-
-def _links_of(blocks: DataFrame, chunks: DataFrame, percent: int) -> DataFrame:
-    """Links of every block of a cluster with every chunk of the same cluster."""
-    size = blocks.groupBy("cluster").agg((F.max("block") + 1).alias("blocks"))
-    many = chunks.join(size, "cluster").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    per_chunk = chunks.select("cluster", "chunk").distinct()
-    own = blocks.join(per_chunk, "cluster")
-    columns = ["cluster", "block", "chunk", "node", "n", "tokens"]
-    both = own.select(*columns, F.lit(0).alias("side")).unionByName(
-        many.select(*columns, F.lit(1).alias("side")))
-    return both.groupBy("cluster", "block", "chunk").applyInArrow(_cross(percent), "a long, b long")
-
-
-def _numbered(df: DataFrame, name: str, tokens: int) -> DataFrame:
-    """Parts of a cluster with about so many tokens each, by node hash."""
-    parts = df.groupBy("cluster").agg(
-        F.ceil(F.sum(F.octet_length("tokens") / 8) / tokens).cast("int").alias("parts"))
-    return df.join(parts, "cluster").withColumn(
-        name, F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).cast("int")).drop("parts")
-
-
-def _large(live: DataFrame, percent: int, pivots: int, block_tokens: int) -> DataFrame:
-    """Components of the documents of large clusters."""
-    blocks = stage(_numbered(live, "block", block_tokens), "blocks")
-    first = blocks.join(_least_of(blocks, pivots), ["cluster", "node"], "left_semi").withColumn("chunk", F.lit(0))
-    links = stage(_links_of(blocks, first.drop("block"), percent), "pivot_links")
-    label = stage(components(links), "pivot_components")
-    rooted = blocks.select("cluster", "node").join(label, "node", "left") \
-        .withColumn("root", F.coalesce("root", "node"))
-    sizes = stage(rooted.groupBy("cluster", "root").agg(F.count("*").alias("size")), "sizes")
-    main = sizes.groupBy("cluster").agg(
-        F.max(F.struct("size", "root")).getField("root").alias("root"))
-    rest = stage(rooted.join(main, ["cluster", "root"], "left_anti"), "rest")
-    apart = _numbered(blocks.drop("block").join(rest.select("node"), "node", "left_semi"),
-                      "chunk", block_tokens)
-    more = stage(_links_of(blocks, apart, percent), "more_links")
-    label = stage(components(links.unionByName(more)), "large_components")
-    ids = live.select("node", "doc_id").join(label, "node")
-    least = stage(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least_ids")
-    return label.join(least, "root").select("node", "component_id")
-
-
-def _least_of(blocks: DataFrame, pivots: int) -> DataFrame:
-    """(cluster, node) of the documents with the fewest tokens of their own in each cluster.
-
-    Ranked within each block first, so at most ``pivots`` rows per block reach the second ranking.
-    """
-    from pyspark.sql import Window
+def _verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the pairs (a, b, n_a, n_b)."""
+    side = live.select("node", "tokens")
+    return (pairs.join(side.toDF("a", "t_a"), "a").join(side.toDF("b", "t_b"), "b")
+            .select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(_verify(percent),
+                                                                     "a long, b long"))
 
-    order = [F.col("priority"), F.col("node")]
-    near = blocks.select("cluster", "block", "node", "priority").withColumn(
-        "r", F.row_number().over(Window.partitionBy("cluster", "block").orderBy(*order))) \
-        .filter(F.col("r") <= pivots).drop("r", "block")
-    return near.withColumn("r", F.row_number().over(
-        Window.partitionBy("cluster").orderBy(*order))).filter(F.col("r") <= pivots) \
-        .select("cluster", "node")
+
+def _tied(ties: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """Links among the ties."""
+    own = live.select("node", "n", "own")
+    pairs = (ties.distinct().join(own.toDF("a", "n_a", "own_a"), "a")
+             .join(own.toDF("b", "n_b", "own_b"), "b")
+             .filter(_possible_pair(percent, "own_a", "own_b")))
+    return _verified(pairs, live, percent)
+
+
+def _paired(live: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Links between components, among all pairs with a common signature that may link."""
+    entry = (live.select("node", "n", "signatures", "places").join(label, "node", "left")
+             .withColumn("root", F.coalesce("root", "node"))
+             .select("node", "n", "root", F.explode(F.arrays_zip("signatures", "places")).alias("s"))
+             .selectExpr("node", "n", "root", "s.signatures signature", "s.places place"))
+    several = (entry.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("up"))
+               .filter("low < up").select("signature"))
+    entry = stage(entry.join(several, "signature"), "entries")
+    names = ("node", "n", "root", "place")
+    left = entry.select("signature", *(F.col(c).alias(f"{c}_a") for c in names))
+    right = entry.select("signature", *(F.col(c).alias(f"{c}_b") for c in names))
+    pairs = (left.join(right, "signature")
+             .filter(f"root_a < root_b and {_possible_pair(percent, 'place_a', 'place_b')}")
+             .selectExpr("node_a a", "node_b b", "n_a", "n_b").distinct())
+    return _verified(stage(pairs, "pairs"), live, percent)
 
 
 def similar(docs: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text",
@@ -454,8 +340,7 @@ def _members(docs: DataFrame, width: int, percent: int, key: str, text: str, **s
 
 
 def _compared(rows: DataFrame, width: int, percent: int, shard_bytes: int = SHARD_BYTES,
-              frequent: int = FREQUENT, cluster_docs: int = CLUSTER_DOCS, pivots: int = PIVOTS,
-              block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+              frequent: int = FREQUENT) -> DataFrame:
     total = total_bytes(rows)
     shards, _ = sharded(rows, total, shard_bytes)
     by_shard = shards.groupBy("shard")
@@ -467,26 +352,19 @@ def _compared(rows: DataFrame, width: int, percent: int, shard_bytes: int = SHAR
     answers = sample.withColumn("step", F.lit(0)).unionByName(full.withColumn("step", F.lit(1)))
     found = stage(by_shard.cogroup(answers.groupBy("shard")).applyInArrow(
         _find(width, percent, sample_buckets, buckets, buckets, frequent), FOUND), "found")
-    documents = found.filter(f"kind = {DOC}").selectExpr("node", "doc_id", "n", "other text_hash")
-    ties = found.filter(f"kind = {SIGNATURES}").select("bucket", "tokens", "more") \
+    live = found.filter(f"kind = {LIVE}").select("node", "n", "own", "tokens", "signatures",
+                                                 "places")
+    across = found.filter(f"kind = {SIGNATURES}").select("bucket", "tokens", "more") \
         .groupBy("bucket").applyInArrow(_tie, "a long, b long")
-    cluster = components(found.filter(f"kind = {EDGE}").selectExpr("node a", "other b")
-                         .unionByName(ties)).withColumnRenamed("root", "cluster")
-    live = found.filter(f"kind = {LIVE}").select("node", "doc_id", "n", "priority", "tokens")
-    size = stage(cluster.join(live.selectExpr("node", "octet_length(tokens) / 8 size"), "node")
-                 .groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("size").alias("size")),
-                 "clusters")
-    small = (F.col("docs") <= cluster_docs) & (F.col("size") <= CLUSTER_TOKENS)
-    member = stage(cluster.join(size, "cluster"), "member")
-    bundles = max(1, total // shard_bytes)
-    labels = (live.join(_small(member.filter(small).select("node", "cluster")), "node")
-              .withColumn("bundle", F.pmod(F.xxhash64("cluster"), F.lit(bundles)))
-              .select("bundle", "cluster", "node", "doc_id", "n", "tokens")
-              .groupBy("bundle").applyInArrow(_whole(percent), "node long, component_id long"))
-    if not size.filter(~small).isEmpty():
-        large = stage(live.join(_small(member.filter(~small).select("node", "cluster")), "node"),
-                      "large")
-        labels = labels.unionByName(_large(large, percent, pivots, block_tokens))
-    return documents.join(labels, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+    ties = found.filter(f"kind = {EDGE}").selectExpr("node a", "other b").unionByName(across)
+    links = stage(_tied(ties, live, percent), "tied")
+    label = stage(components(links), "joined")
+    more = stage(_paired(live, label, percent), "paired")
+    if not more.isEmpty():
+        label = stage(components(links.unionByName(more)), "all_joined")
+    documents = found.filter(f"kind = {DOC}").selectExpr("node", "doc_id", "n", "other text_hash")
+    least = stage(documents.join(label, "node").groupBy("root")
+                  .agg(F.min("doc_id").alias("component_id")), "least_ids")
+    return (documents.join(label.join(least, "root").select("node", "component_id"), "node", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"),
+                    F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash"))

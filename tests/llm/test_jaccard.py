@@ -60,8 +60,8 @@ def corpus(seed, groups=12, size=9):
 @pytest.mark.parametrize("width, percent, options", [
     (4, 85, {}),
     (5, 80, {"shard_bytes": 4000, "frequent": 3}),
-    (4, 85, {"shard_bytes": 4000, "frequent": 2, "cluster_docs": 2, "pivots": 2,
-             "block_tokens": 300}),
+    (4, 85, {"shard_bytes": 4000, "frequent": 2}),
+    (3, 60, {"shard_bytes": 9000, "frequent": 5}),
 ])
 def test_components_match_brute_force(spark, width, percent, options):
     rows = corpus(width * 7 + len(options))

@@ -17,8 +17,9 @@ Two texts link when 100 * intersection >= percent * union of their sets of n-gra
    shard, then across shards (a signature of a third of all documents is one row per shard). Ties
    are verified, which joins most groups of copies without comparing all their pairs.
 4. Pairs. What is left are documents with a common signature in different components. They are
-   joined by signature with the positional bound as condition: tokens before the first common one
-   are not common. A group that has been joined makes no pairs, and neither do documents whose own
+   paired by signature, if the positional bound allows a link: tokens before the first common one
+   are not common. Signatures are dealt into buckets, and each bucket writes a pair once; the
+   pairs of a hot signature are made by a join instead. A group that has been joined makes no pairs, and neither do documents whose own
    tokens alone exceed what a partner may lack. Pairs are verified, and all links give the
    components. Equal texts are compared as one.
 
@@ -46,7 +47,10 @@ from tenderlens.sources.staging import stage
 U64 = np.uint64
 SLICE = 1 << 20
 SAMPLED = 0.25
-FREQUENT = 64
+FREQUENT = 1024
+#: Entries of a signature from which on its pairs are made by a join, which Spark can split.
+HOT_ENTRIES = 1 << 15
+BUCKET_ENTRIES = 1 << 20
 #: Rows of 16 bytes that are broadcast at most; more are shuffled.
 BROADCAST_ROWS = 1 << 20
 
@@ -171,13 +175,16 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _star(sig: np.ndarray, node: np.ndarray, own: np.ndarray):
-    """Centre of each signature (fewest tokens of its own, then least node), and all ties to it."""
+    """The centre of each signature (fewest tokens of its own, then least node) and its own tokens;
+    (node, centre, signatures) for each node that is no centre there."""
     order = np.lexsort((node, own, sig))
     sig, node, own = sig[order], node[order], own[order]
     new = np.append(True, sig[1:] != sig[:-1])[:len(sig)]
     centre = node[new][np.cumsum(new) - 1] if len(sig) else node
     tie = np.stack([node, centre], 1)[node != centre]
-    return sig[new], node[new], own[new], np.unique(tie, axis=0) if len(tie) else tie
+    tie, times = np.unique(tie, axis=0, return_counts=True) if len(tie) \
+        else (tie, np.zeros(0, np.int64))
+    return sig[new], node[new], own[new], tie[:, 0], tie[:, 1], times
 
 
 def _find(width: int, percent: int, sample_buckets: int, buckets: int, sig_buckets: int,
@@ -213,9 +220,13 @@ def _find(width: int, percent: int, sample_buckets: int, buckets: int, sig_bucke
                         None, int(own[i]), shared.tobytes(), None, found.astype(np.int64),
                         places))
         sig, node = np.concatenate(sig), np.concatenate(node)
-        sig, centre, priority, ties = _star(sig, node, own[node & 0xFFFFFFFF])
+        sig, centre, priority, *ties = _star(sig, node, own[node & 0xFFFFFFFF])
+        # The centre that a document shares most signatures with.
+        order = np.lexsort((ties[1], -ties[2], ties[0]))
+        ties = [x[order] for x in ties]
+        best = np.append(True, ties[0][1:] != ties[0][:-1])[:len(order)]
         out += [(EDGE, None, a, None, None, b, None, None, None, None, None)
-                for a, b in ties.tolist()]
+                for a, b in zip(ties[0][best].tolist(), ties[1][best].tolist())]
         bucket = ((sig >> U64(32)) * U64(sig_buckets) >> U64(32)).astype(np.int64)
         edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(sig)) \
             if len(sig) else np.zeros(1, np.int64)
@@ -232,8 +243,9 @@ def _tie(table: pa.Table) -> pa.Table:
     sig = np.concatenate([np.frombuffer(x, U64) for x in table.column("tokens").to_pylist()])
     both = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1)
                            for x in table.column("more").to_pylist()], 1)
-    ties = _star(sig, both[0], both[1])[3]
-    return pa.table({"a": pa.array(ties[:, 0], pa.int64()), "b": pa.array(ties[:, 1], pa.int64())})
+    a, b, times = _star(sig, both[0], both[1])[3:]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()),
+                     "times": pa.array(times, pa.int64())})
 
 
 def _verify(percent: int):
@@ -272,22 +284,59 @@ def _tied(ties: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     return _verified(pairs, live, percent)
 
 
-def _paired(live: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def _pairs_in(percent: int):
+    """Distinct pairs of a bucket of signatures; entries of a signature are compared by distance
+    in their order, all signatures at once."""
+    def run(table):
+        order = np.argsort(table.column("signature").to_numpy(), kind="stable")
+        signature, node, n, root, place = (table.column(c).to_numpy()[order] for c in (
+            "signature", "node", "n", "root", "place"))
+        at, found = np.arange(len(order)), [np.zeros((0, 4), np.int64)]
+        held = 0
+        for step in range(1, len(order)):
+            at = at[at + step < len(order)]
+            at = at[signature[at] == signature[at + step]]
+            if not len(at):
+                break
+            x, y = at, at + step
+            least = np.minimum(n[x] - place[x], n[y] - place[y])
+            use = (root[x] != root[y]) & ((100 + percent) * least >= percent * (n[x] + n[y]))
+            x, y = x[use], y[use]
+            swap = node[x] > node[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            found.append(np.stack([node[x], node[y], n[x], n[y]], 1))
+            held += len(x)
+            if held > 1 << 20:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                held = 0
+        found = np.unique(np.concatenate(found), axis=0)
+        return pa.table([pa.array(found[:, i]) for i in range(4)], names=["a", "b", "n_a", "n_b"])
+    return run
+
+
+def _paired(live: DataFrame, label: DataFrame, percent: int, hot: int) -> DataFrame:
     """Links between components, among all pairs with a common signature that may link."""
     entry = (live.select("node", "n", "signatures", "places").join(label, "node", "left")
              .withColumn("root", F.coalesce("root", "node"))
              .select("node", "n", "root", F.explode(F.arrays_zip("signatures", "places")).alias("s"))
              .selectExpr("node", "n", "root", "s.signatures signature", "s.places place"))
-    several = (entry.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("up"))
-               .filter("low < up").select("signature"))
+    several = (entry.groupBy("signature")
+               .agg(F.min("root").alias("low"), F.max("root").alias("up"), F.count("*").alias("size"))
+               .filter("low < up").select("signature", (F.col("size") > hot).alias("hot")))
     entry = stage(entry.join(several, "signature"), "entries")
+    buckets = max(1, -(-entry.count() // BUCKET_ENTRIES))
+    pairs = (entry.filter("not hot").withColumn(
+        "bucket", F.pmod(F.xxhash64("signature"), F.lit(buckets)))
+        .groupBy("bucket").applyInArrow(_pairs_in(percent), "a long, b long, n_a long, n_b long"))
     names = ("node", "n", "root", "place")
-    left = entry.select("signature", *(F.col(c).alias(f"{c}_a") for c in names))
-    right = entry.select("signature", *(F.col(c).alias(f"{c}_b") for c in names))
-    pairs = (left.join(right, "signature")
-             .filter(f"root_a < root_b and {_possible_pair(percent, 'place_a', 'place_b')}")
-             .selectExpr("node_a a", "node_b b", "n_a", "n_b").distinct())
-    return _verified(stage(pairs, "pairs"), live, percent)
+    left, right = (entry.filter("hot").select("signature", *(
+        F.col(c).alias(f"{c}_{side}") for c in names)) for side in "ab")
+    pairs = pairs.unionByName(
+        left.join(right, "signature")
+        .filter(f"root_a <> root_b and node_a < node_b and "
+                f"{_possible_pair(percent, 'place_a', 'place_b')}")
+        .selectExpr("node_a a", "node_b b", "n_a", "n_b"))
+    return _verified(stage(pairs.distinct(), "pairs"), live, percent)
 
 
 def similar(docs: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text",
@@ -340,7 +389,7 @@ def _members(docs: DataFrame, width: int, percent: int, key: str, text: str, **s
 
 
 def _compared(rows: DataFrame, width: int, percent: int, shard_bytes: int = SHARD_BYTES,
-              frequent: int = FREQUENT) -> DataFrame:
+              frequent: int = FREQUENT, hot: int = HOT_ENTRIES) -> DataFrame:
     total = total_bytes(rows)
     shards, _ = sharded(rows, total, shard_bytes)
     by_shard = shards.groupBy("shard")
@@ -355,11 +404,13 @@ def _compared(rows: DataFrame, width: int, percent: int, shard_bytes: int = SHAR
     live = found.filter(f"kind = {LIVE}").select("node", "n", "own", "tokens", "signatures",
                                                  "places")
     across = found.filter(f"kind = {SIGNATURES}").select("bucket", "tokens", "more") \
-        .groupBy("bucket").applyInArrow(_tie, "a long, b long")
+        .groupBy("bucket").applyInArrow(_tie, "a long, b long, times long")
+    across = across.groupBy("a", "b").agg(F.sum("times").alias("times")).groupBy("a").agg(
+        F.max(F.struct("times", F.expr("-b"))).alias("best")).selectExpr("a", "-best.col2 b")
     ties = found.filter(f"kind = {EDGE}").selectExpr("node a", "other b").unionByName(across)
     links = stage(_tied(ties, live, percent), "tied")
     label = stage(components(links), "joined")
-    more = stage(_paired(live, label, percent), "paired")
+    more = stage(_paired(live, label, percent, hot), "paired")
     if not more.isEmpty():
         label = stage(components(links.unionByName(more)), "all_joined")
     documents = found.filter(f"kind = {DOC}").selectExpr("node", "doc_id", "n", "other text_hash")

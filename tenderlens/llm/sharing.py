@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 U64 = np.uint64
-SHARD_BYTES = 1 << 22
-BUCKET_TOKENS = 1 << 21
+SHARD_BYTES = 1 << 21
+BUCKET_TOKENS = 1 << 19
 #: Stands for a null document id: greater than all others.
 NO_ID = (1 << 63) - 1
 

@@ -381,7 +381,7 @@ def _judge(block: int):
         place[order] = np.arange(len(order))
         by_copy = np.argsort(place[which], kind="stable")
         copy_place = place[which[by_copy]]
-        found = []
+        found = [(np.zeros(0, np.int64),) * 4]
         for low, high in _ranges(value[order], size[order], 4 * block):
             chosen = order[low:high]
             a, b = np.searchsorted(copy_place, (low, high))

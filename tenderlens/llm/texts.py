@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # Bytes of text that are worked on at a time; a longer text is worked on alone.
 SLICE_BYTES = 1 << 22
 # Bytes in an Arrow batch between Spark and Python, so that long texts do not add up.
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 22
 
 U64 = np.uint64
 

@@ -18,8 +18,9 @@ Two texts link when 100 * intersection >= percent * union of their sets of n-gra
    are verified, which joins most groups of copies without comparing all their pairs.
 4. Pairs. What is left are documents with a common signature in different components. They are
    paired by signature, if the positional bound allows a link: tokens before the first common one
-   are not common. Signatures are dealt into buckets, and each bucket writes a pair once; the
-   pairs of a hot signature are made by a join instead. A group that has been joined makes no pairs, and neither do documents whose own
+   are not common. Signatures are dealt into buckets, and each bucket packs its pairs by blocks of
+   documents; the pairs of a hot signature are made by a join instead. A set is sent once for each
+   pair of blocks that needs it, not once for each pair. A group that has been joined makes no pairs, and neither do documents whose own
    tokens alone exceed what a partner may lack. Pairs are verified, and all links give the
    components. Equal texts are compared as one.
 
@@ -51,6 +52,8 @@ FREQUENT = 1024
 #: Entries of a signature from which on its pairs are made by a join, which Spark can split.
 HOT_ENTRIES = 1 << 15
 BUCKET_ENTRIES = 1 << 20
+#: Documents of a block, when pairs are verified block by block.
+BLOCK_DOCS = 512
 #: Rows of 16 bytes that are broadcast at most; more are shuffled.
 BROADCAST_ROWS = 1 << 20
 
@@ -284,8 +287,8 @@ def _tied(ties: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     return _verified(pairs, live, percent)
 
 
-def _pairs_in(percent: int):
-    """Distinct pairs of a bucket of signatures; entries of a signature are compared by distance
+def _pairs_in(percent: int, blocks: int):
+    """Distinct pairs of a bucket of signatures, packed; entries of a signature are compared by distance
     in their order, all signatures at once."""
     def run(table):
         order = np.argsort(table.column("signature").to_numpy(), kind="stable")
@@ -309,12 +312,59 @@ def _pairs_in(percent: int):
             if held > 1 << 20:
                 found = [np.unique(np.concatenate(found), axis=0)]
                 held = 0
-        found = np.unique(np.concatenate(found), axis=0)
-        return pa.table([pa.array(found[:, i]) for i in range(4)], names=["a", "b", "n_a", "n_b"])
+        return _packed(np.unique(np.concatenate(found), axis=0), blocks)
     return run
 
 
-def _paired(live: DataFrame, label: DataFrame, percent: int, hot: int) -> DataFrame:
+def _packed(pairs: np.ndarray, blocks: int) -> pa.Table:
+    """Pairs (a, b, n_a, n_b) as one row for each pair of blocks."""
+    block = (mix(pairs[:, :2].astype(U64)) % U64(blocks)).astype(np.int64)
+    key = block[:, 0] * blocks + block[:, 1]
+    order = np.argsort(key, kind="stable")
+    pairs, key = pairs[order], key[order]
+    edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) \
+        if len(key) else np.zeros(1, np.int64)
+    parts = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+    return pa.table({"pair": pa.array([int(key[a]) for a, _ in parts], pa.int64()),
+                     "packed": pa.array([pairs[a:b].tobytes() for a, b in parts], pa.binary())})
+
+
+PACKED = "pair long, packed binary"
+
+
+def _needed(batches):
+    """(node, pair of blocks) of all documents of packed pairs."""
+    for batch in batches:
+        for pair, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            nodes = np.unique(np.frombuffer(packed, np.int64).reshape(-1, 4)[:, :2])
+            yield pa.RecordBatch.from_pydict({"node": nodes, "pair": np.full(len(nodes), pair)})
+
+
+def _verify_blocks(percent: int):
+    """Links among the pairs of two blocks, once for each."""
+    def run(key, packed, sides):
+        pairs = np.unique(np.concatenate([np.zeros((0, 4), np.int64), *(
+            np.frombuffer(x, np.int64).reshape(-1, 4)
+            for x in packed.column("packed").to_pylist())]), axis=0)
+        sets = {n: np.frombuffer(t, U64) for n, t in zip(
+            sides.column("node").to_pylist(), sides.column("tokens").to_pylist())}
+        common = np.fromiter((len(np.intersect1d(sets[a], sets[b], True))
+                              for a, b in pairs[:, :2].tolist()), np.int64, len(pairs))
+        good = 100 * common >= percent * (pairs[:, 2] + pairs[:, 3] - common)
+        return pa.table({"a": pairs[good, 0], "b": pairs[good, 1]})
+    return run
+
+
+def _verified_blocks(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """Links among packed pairs: a set is sent once for each pair of blocks that needs it."""
+    need = pairs.mapInArrow(_needed, "node long, pair long").distinct()
+    sides = live.select("node", "tokens").join(need, "node").select("pair", "node", "tokens")
+    return pairs.groupBy("pair").cogroup(sides.groupBy("pair")).applyInArrow(
+        _verify_blocks(percent), "a long, b long")
+
+
+def _paired(live: DataFrame, label: DataFrame, percent: int, hot: int,
+            block_docs: int) -> DataFrame:
     """Links between components, among all pairs with a common signature that may link."""
     entry = (live.select("node", "n", "signatures", "places").join(label, "node", "left")
              .withColumn("root", F.coalesce("root", "node"))
@@ -325,18 +375,25 @@ def _paired(live: DataFrame, label: DataFrame, percent: int, hot: int) -> DataFr
                .filter("low < up").select("signature", (F.col("size") > hot).alias("hot")))
     entry = stage(entry.join(several, "signature"), "entries")
     buckets = max(1, -(-entry.count() // BUCKET_ENTRIES))
+    blocks = max(1, -(-live.count() // block_docs))
     pairs = (entry.filter("not hot").withColumn(
         "bucket", F.pmod(F.xxhash64("signature"), F.lit(buckets)))
-        .groupBy("bucket").applyInArrow(_pairs_in(percent), "a long, b long, n_a long, n_b long"))
+        .groupBy("bucket").applyInArrow(_pairs_in(percent, blocks), PACKED))
     names = ("node", "n", "root", "place")
     left, right = (entry.filter("hot").select("signature", *(
         F.col(c).alias(f"{c}_{side}") for c in names)) for side in "ab")
-    pairs = pairs.unionByName(
-        left.join(right, "signature")
-        .filter(f"root_a <> root_b and node_a < node_b and "
-                f"{_possible_pair(percent, 'place_a', 'place_b')}")
-        .selectExpr("node_a a", "node_b b", "n_a", "n_b"))
-    return _verified(stage(pairs.distinct(), "pairs"), live, percent)
+    of_hot = (left.join(right, "signature")
+              .filter(f"root_a <> root_b and node_a < node_b and "
+                      f"{_possible_pair(percent, 'place_a', 'place_b')}")
+              .selectExpr("node_a a", "node_b b", "n_a", "n_b").distinct())
+
+    def pack(batches):
+        for batch in batches:
+            rows = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+            yield from _packed(rows, blocks).to_batches()
+
+    pairs = stage(pairs.unionByName(of_hot.mapInArrow(pack, PACKED)), "pairs")
+    return _verified_blocks(pairs, live, percent)
 
 
 def similar(docs: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text",
@@ -389,7 +446,8 @@ def _members(docs: DataFrame, width: int, percent: int, key: str, text: str, **s
 
 
 def _compared(rows: DataFrame, width: int, percent: int, shard_bytes: int = SHARD_BYTES,
-              frequent: int = FREQUENT, hot: int = HOT_ENTRIES) -> DataFrame:
+              frequent: int = FREQUENT, hot: int = HOT_ENTRIES,
+              block_docs: int = BLOCK_DOCS) -> DataFrame:
     total = total_bytes(rows)
     shards, _ = sharded(rows, total, shard_bytes)
     by_shard = shards.groupBy("shard")
@@ -410,7 +468,7 @@ def _compared(rows: DataFrame, width: int, percent: int, shard_bytes: int = SHAR
     ties = found.filter(f"kind = {EDGE}").selectExpr("node a", "other b").unionByName(across)
     links = stage(_tied(ties, live, percent), "tied")
     label = stage(components(links), "joined")
-    more = stage(_paired(live, label, percent, hot), "paired")
+    more = stage(_paired(live, label, percent, hot, block_docs), "paired")
     if not more.isEmpty():
         label = stage(components(links.unionByName(more)), "all_joined")
     documents = found.filter(f"kind = {DOC}").selectExpr("node", "doc_id", "n", "other text_hash")

@@ -60,7 +60,7 @@ def corpus(seed, groups=12, size=9):
 @pytest.mark.parametrize("width, percent, options", [
     (4, 85, {}),
     (5, 80, {"shard_bytes": 4000, "frequent": 3}),
-    (4, 85, {"shard_bytes": 4000, "frequent": 2, "hot": 3}),
+    (4, 85, {"shard_bytes": 4000, "frequent": 2, "hot": 3, "block_docs": 7}),
     (3, 60, {"shard_bytes": 9000, "frequent": 5}),
 ])
 def test_components_match_brute_force(spark, width, percent, options):

@@ -409,8 +409,9 @@ def woe_of(relation: str, columns=CLEAN_CATEGORICAL) -> str:
 
 _WOE = ("CASE WHEN good > 0 AND bad > 0 "
         "THEN round_even(ln((good / all_good) / (bad / all_bad)), 3) END")
-view("train_", "SELECT * FROM clean_ WHERE cntrID % 100 >= 20", "clean_")
-view("valid_", "SELECT * FROM clean_ WHERE cntrID % 100 < 20", "clean_")
+_VALID = "(cntrID * 7919 + 42) // 100 % 100"
+view("train_", f"SELECT * FROM clean_ WHERE {_VALID} >= 20", "clean_")
+view("valid_", f"SELECT * FROM clean_ WHERE {_VALID} < 20", "clean_")
 for suffix, source in (("", "clean_"), ("_t", "train_")):
     view(f"lim{suffix}", limits_wide(source), source)
     view(f"bounded{suffix}", "SELECT " + ", ".join(
@@ -575,7 +576,7 @@ def _build() -> dict[str, str]:
         "CAST(good AS BIGINT) AS good, CAST(bad AS BIGINT) AS bad, woe FROM woes", "woes")
     add("woe_encode", "SELECT cntrID, " + ", ".join(_coded(c, "woes") for c in CLEAN_CATEGORICAL)
         + " FROM clean_ t", "clean_", "woes")
-    add("train_valid_split", "SELECT cntrID, CASE WHEN cntrID % 100 < 20 THEN 1 ELSE 0 END "
+    add("train_valid_split", f"SELECT cntrID, CASE WHEN {_VALID} < 20 THEN 1 ELSE 0 END "
         "AS valid FROM clean_", "clean_")
     add("stratified_folds", """
         SELECT cntrID, cntr_result, CAST((row_number() OVER (
@@ -693,7 +694,8 @@ def _build() -> dict[str, str]:
                      count(*) FILTER (label = 1) OVER () AS p,
                      count(*) FILTER (label = 0) OVER () AS n FROM scored)""", "scored")
     add("roc_points", """
-        SELECT round(probability, 6) AS threshold,
+        SELECT NULL AS threshold, 0.0 AS fpr, 0.0 AS tpr
+        UNION ALL SELECT round(probability, 6) AS threshold,
                round(sum(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)) OVER w
                      / (SELECT count(*) FROM scored WHERE label = 0), 6) AS fpr,
                round(sum(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)) OVER w
@@ -718,7 +720,9 @@ def _build() -> dict[str, str]:
                    / (count(*) FILTER (label = 1) + count(*) FILTER (prediction = 1)), 3)
                    FROM scored""", "scored")
     bins = "CAST(least(floor(probability * 10), 9) AS INTEGER)"
-    add("calibration_curve", f"SELECT {bins} AS bin, "
+    # The inner edges below a probability; one on an edge belongs to the lower bin.
+    lower = " + ".join(f"CAST(probability > {i} / 10.0::DOUBLE AS INTEGER)" for i in range(1, 10))
+    add("calibration_curve", f"SELECT {lower} AS bin, "
         f"{r('avg(probability)', 'mean_probability')}, {r('avg(label)', 'positive_share')} "
         "FROM scored GROUP BY 1", "scored")
     add("probability_histogram", f"SELECT {bins} AS bin, count(*) AS count FROM scored GROUP BY 1",

@@ -15,7 +15,7 @@ def contract_labels(f: Facts) -> DataFrame:
     label without a closure or without a value row.
     """
     # Distinct first: a contract with very many value rows is one key in the shuffle.
-    valued = f.wh.value.select(F.col("RefContract").alias("cntrID")).distinct()
+    valued = f.recent_values.select("cntrID").distinct()
     endings = f.endings.join(valued, "cntrID", "left_semi")
     return (finished_contracts(f.wh, f.s).select(F.col("ID").alias("cntrID")).distinct()
             .join(endings, "cntrID", "left")

@@ -44,14 +44,16 @@ def roc_auc(predictions: DataFrame, slices: int = SLICES) -> DataFrame:
 
 
 def roc_points(predictions: DataFrame, slices: int = SLICES) -> DataFrame:
-    """(threshold, fpr, tpr), one row per distinct probability."""
+    """(threshold, fpr, tpr): the start (0, 0) without threshold, then one row per distinct
+    probability. The groups are staged, so the class totals need no second look at the input."""
     groups = score_groups(predictions, slices)
-    classes = predictions.agg(F.count(F.when(F.col(LABEL) == 1, 1)).alias("p"),
-                              F.count(F.when(F.col(LABEL) == 0, 1)).alias("n"))
-    return groups.select(
+    classes = groups.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    points = groups.select(
         (-F.col("order")).alias("threshold"),
         ratio(F.col("neg_before") + F.col("neg"), classes.select("n").scalar()).alias("fpr"),
         ratio(F.col("pos_before") + F.col("pos"), classes.select("p").scalar()).alias("tpr"))
+    start = classes.selectExpr("cast(null as double) threshold", "0D fpr", "0D tpr")
+    return start.unionByName(points)
 
 
 def confusion_matrix(predictions: DataFrame) -> DataFrame:
@@ -93,8 +95,10 @@ def _bin(bins: int) -> Column:
 
 
 def calibration_curve(predictions: DataFrame, bins: int = 10) -> DataFrame:
-    """(bin, mean probability, share of positives); empty bins have no row."""
-    return predictions.groupBy(_bin(bins).alias("bin")).agg(
+    """(bin, mean probability, share of positives); empty bins have no row. A probability on an
+    inner edge belongs to the lower bin, unlike in the histogram."""
+    lower = sum(((F.col(PROBABILITY) > i / bins).cast("int") for i in range(1, bins)), F.lit(0))
+    return predictions.groupBy(lower.alias("bin")).agg(
         F.avg(PROBABILITY).alias("mean_probability"),
         F.avg(F.col(LABEL).cast("double")).alias("positive_share"))
 

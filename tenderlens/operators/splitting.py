@@ -19,7 +19,11 @@ def _draw(key: str, seed: int, mode: str, modulus: int) -> Column:
 def train_valid_split(df: DataFrame, valid_percent: int = 20, key: str = ROW_ID,
                       seed: int = SEED, mode: str = "hash") -> tuple[DataFrame, DataFrame]:
     """(train, valid); a row's side depends on its key alone, whatever the partitioning."""
-    is_valid = _draw(key, seed, mode, 100) < valid_percent
+    if mode == "modulo":
+        # Other rules draw by the last digits of the key, so take digits that the seed mixes.
+        is_valid = F.expr(f"pmod((`{key}` * 7919 + {seed}) div 100, 100) < {valid_percent}")
+    else:
+        is_valid = _draw(key, seed, mode, 100) < valid_percent
     return df.filter(~is_valid), df.filter(is_valid)
 
 

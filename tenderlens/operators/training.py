@@ -6,7 +6,7 @@ import json
 import random
 import time
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
@@ -24,7 +24,6 @@ from tenderlens.sources.staging import small_table, stage
 
 SCORING = ("accuracy", "roc_auc", "neg_log_loss")
 MAX_TREE_DEPTH = 30
-ROWS_PER_TASK = 10_000
 
 
 @dataclass(frozen=True)
@@ -56,6 +55,18 @@ NETWORK = Classifier("Network", "NN-60x4", {"hidden": [60, 60, 60, 60], "epochs"
                                             "batch": 5000})
 
 
+def _depth(depth: int) -> int:
+    if depth > MAX_TREE_DEPTH:
+        raise ValueError(f"trees may be {MAX_TREE_DEPTH} deep, not {depth}")
+    return depth
+
+
+def _subset(wanted: int, features: int) -> int:
+    if wanted > features:
+        raise ValueError(f"max_features is {wanted}, but there are {features} features")
+    return wanted
+
+
 def estimator(clf: Classifier, rows: int, features: int):
     """The Spark ML estimator of a classifier for training data of the given shape."""
     p = clf.params
@@ -69,14 +80,14 @@ def estimator(clf: Classifier, rows: int, features: int):
         subset = p.get("max_features", "sqrt")
         return RandomForestClassifier(
             labelCol=LABEL, seed=SEED, numTrees=p.get("n_estimators", 100),
-            maxDepth=min(p.get("max_depth", 5), MAX_TREE_DEPTH), impurity=p.get("criterion", "gini"),
+            maxDepth=_depth(p.get("max_depth", 5)), impurity=p.get("criterion", "gini"),
             featureSubsetStrategy=subset if isinstance(subset, str)
-            else str(min(subset, features)))
+            else str(_subset(subset, features)))
     if clf.kind == "Boosting":
         # gamma bounds the loss gained by a split summed over rows, the gain here is per row.
         return GBTClassifier(
             labelCol=LABEL, seed=SEED, maxIter=p.get("n_estimators", 100),
-            stepSize=p.get("eta", 0.3), maxDepth=min(p.get("max_depth", 6), MAX_TREE_DEPTH),
+            stepSize=p.get("eta", 0.3), maxDepth=_depth(p.get("max_depth", 6)),
             minInfoGain=p.get("gamma", 0.0) / max(rows, 1), subsamplingRate=p.get("subsample", 1.0))
     if clf.kind == "Network":
         return MultilayerPerceptronClassifier(
@@ -114,10 +125,8 @@ def fit_classifier(clf: Classifier, train: DataFrame, spec: FeatureSpec) -> Fitt
     data = encode.vectors(encoded).select(LABEL, "features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = data.count()
-        # Each iteration is a job, so small data should not be spread over many tasks.
-        tasks = max(1, rows // ROWS_PER_TASK)
         start = time.time()
-        model = estimator(clf, rows, len(names)).fit(data.coalesce(tasks))
+        model = estimator(clf, rows, len(names)).fit(data)
         return Fitted(clf, encoding, model, names, time.time() - start)
     finally:
         data.unpersist()
@@ -263,11 +272,3 @@ def best_so_far(history: DataFrame) -> DataFrame:
             .select("trial", "model", "params", "score",
                     F.format_string("New best: %.5f using %s", "score", "params")
                     .alias("line")))
-
-
-def with_rounds(clf: Classifier, rounds: int) -> Classifier:
-    """The classifier with at most ``rounds`` trees, for quick runs."""
-    p = dict(clf.params)
-    if "n_estimators" in p:
-        p["n_estimators"] = min(p["n_estimators"], rounds)
-    return replace(clf, params=p)

@@ -53,3 +53,16 @@ def test_entry(spark):
     df = entry(spark)
     keys = ["valID", "cntrID", "supID", "orgID", "okpdID"]
     assert df.count() > 0 and df.count() == df.select(*keys).distinct().count()
+
+
+def test_split_holds_both_classes_on_both_sides(spark):
+    from catalog.stages import stages
+
+    keys = stages(spark, FOLDER).clean.select("cntrID", "cntr_result")
+    sides = QUERIES["train_valid_split"](spark, FOLDER).join(keys, "cntrID")
+    side = next(c for c in sides.columns if c not in ("cntrID", "cntr_result"))
+    counts = {(r[side], r.cntr_result): r["count"]
+              for r in sides.groupBy(side, "cntr_result").count().collect()}
+    assert len(counts) == 4
+    valid = sum(n for (s, _), n in counts.items() if s == 1)
+    assert 0.1 < valid / sum(counts.values()) < 0.3

@@ -67,7 +67,7 @@ def test_warehouse_folders_and_tables(spark, tmp_path, warehouse):
     assert tables.contracts.first().RefStage == 3
 
 
-def test_statistics_tables_are_created_and_appended(spark, warehouse, settings):
+def test_statistics_tables_are_created_and_loaded_once(spark, warehouse, settings):
     spark.sql("CREATE DATABASE IF NOT EXISTS stats_test")
     try:
         wh = warehouse(contracts=[(1, 3, INIT_DATE + 1, None, 1, "1")],
@@ -75,7 +75,7 @@ def test_statistics_tables_are_created_and_appended(spark, warehouse, settings):
         f = Facts(wh, settings)
         refresh_tables(spark, f, "stats_test")
         refresh_tables(spark, f, "stats_test")
-        assert spark.table("stats_test.sup_stats").count() == 2
+        assert spark.table("stats_test.sup_stats").count() == 1
         staging.add_columns(spark, "stats_test.sup_stats", {"sup_fed_ter": "INT"})
         staging.add_columns(spark, "stats_test.sup_stats", {"sup_fed_ter": "INT"})
         assert spark.table("stats_test.sup_stats").first().sup_fed_ter is None
@@ -184,7 +184,9 @@ def test_drawn_parameters_stay_in_range():
             value = clf.params[name]
             assert value in domain if isinstance(domain, list) else domain[0] <= value <= domain[1]
     assert training.shown_params({"eta": 0.123456, "n_jobs": -1}) == {"eta": 0.123}
-    assert training.with_rounds(training.FINALISTS[2], 10).params["n_estimators"] == 10
+    for params in ({"max_depth": 31}, {"max_features": 12}):
+        with pytest.raises(ValueError):
+            training.estimator(training.Classifier("RandForest", "x", params), 100, 11)
 
 
 def test_preparation_end_to_end(spark):

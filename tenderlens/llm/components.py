@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.selectExpr("b a", "a b"))
         least = stage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
         large = stage(both.filter("b > a").join(least, "a").selectExpr("b a", "m b")
-                      .filter("a <> b").distinct(), "large")
+                      .filter("a <> b"), "large")
         least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         edges = stage(large.join(least, "a").selectExpr("explode(array(a, b)) a", "m b")
                       .filter("a <> b").distinct(), "small")

@@ -294,8 +294,13 @@ def _pairs_in(percent: int, blocks: int):
         order = np.argsort(table.column("signature").to_numpy(), kind="stable")
         signature, node, n, root, place = (table.column(c).to_numpy()[order] for c in (
             "signature", "node", "n", "root", "place"))
-        at, found = np.arange(len(order)), [np.zeros((0, 4), np.int64)]
-        held = 0
+        known = np.sort(node)
+        known = known[np.append(True, known[1:] != known[:-1])[:len(known)]]
+        number = np.searchsorted(known, node)
+        sizes = np.zeros(len(known), np.int64)
+        sizes[number] = n
+        at, held = np.arange(len(order)), 0
+        found = [np.zeros(0, np.int64)]
         for step in range(1, len(order)):
             at = at[at + step < len(order)]
             at = at[signature[at] == signature[at + step]]
@@ -304,18 +309,22 @@ def _pairs_in(percent: int, blocks: int):
             x, y = at, at + step
             least = np.minimum(n[x] - place[x], n[y] - place[y])
             use = (root[x] != root[y]) & ((100 + percent) * least >= percent * (n[x] + n[y]))
-            x, y = x[use], y[use]
-            swap = node[x] > node[y]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            found.append(np.stack([node[x], node[y], n[x], n[y]], 1))
+            x, y = number[x[use]], number[y[use]]
+            found.append(np.minimum(x, y) * len(known) + np.maximum(x, y))
             held += len(x)
-            if held > 1 << 20:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                held = 0
-        return _packed(np.unique(np.concatenate(found), axis=0), blocks)
+            if held > 1 << 21:
+                found, held = [_distinct(np.concatenate(found))], 0
+        pairs = _distinct(np.concatenate(found))
+        low, high = pairs // max(1, len(known)), pairs % max(1, len(known))
+        return _packed(np.stack([known[low], known[high], sizes[low], sizes[high]], 1), blocks)
     return run
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])[:len(keys)]]
+
+
 def _packed(pairs: np.ndarray, blocks: int) -> pa.Table:
     """Pairs (a, b, n_a, n_b) as one row for each pair of blocks."""
     block = (mix(pairs[:, :2].astype(U64)) % U64(blocks)).astype(np.int64)

@@ -580,7 +580,7 @@ def _build() -> dict[str, str]:
         "AS valid FROM clean_", "clean_")
     add("stratified_folds", """
         SELECT cntrID, cntr_result, CAST((row_number() OVER (
-            PARTITION BY cntr_result ORDER BY cntrID % 64, cntrID) - 1) % 3 AS INTEGER) AS fold
+            PARTITION BY cntr_result ORDER BY cntrID % 4096, cntrID) - 1) % 3 AS INTEGER) AS fold
         FROM clean_""", "clean_")
     other = [c for c in CLEAN_SHARES if c not in WINSORISED_SHARES] + socs
     add("encode_fit_apply", "SELECT cntrID, cntr_result, " + ", ".join(
@@ -672,6 +672,15 @@ def _build() -> dict[str, str]:
         FROM (SELECT variable, CAST(unnest({grid}) AS DOUBLE) AS p, unnest(quantile_cont(v, {grid})) AS q,
                      quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi
               FROM ({long(NUMERIC, 'feat')}) GROUP BY variable)""", "feat")
+    add("sorted_series", f"""
+        SELECT variable, round(v, 4) AS initial,
+               round(greatest(least(v, hi), lo), 4) AS clipped, count,
+               CAST(sum(count) OVER (PARTITION BY variable ORDER BY v) - count AS BIGINT)
+                   AS rows_before
+        FROM (SELECT variable, v, count(*) AS count FROM ({long(NUMERIC, 'feat')})
+              WHERE v IS NOT NULL GROUP BY 1, 2) JOIN (
+                  SELECT variable, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi
+                  FROM ({long(NUMERIC, 'feat')}) GROUP BY 1) USING (variable)""", "feat")
     add("category_frequency", f"SELECT variable, v AS category, count(*) AS count FROM "
         f"({long(CATEGORICAL, 'feat', '', 'VARCHAR')}) GROUP BY 1, 2", "feat")
     add("dummy_frequency", f"SELECT variable, count(*) FILTER (v <> 0) AS count FROM "

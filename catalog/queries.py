@@ -11,7 +11,7 @@ from catalog.stages import SAMPLE_MODE, full_facts, lazy_facts, scored_contracts
 from tenderlens.functions.scalars import decimal_comma
 from tenderlens.operators import (
     cleaning, codes, encode, entities, explore, features, flatten, labels, metrics, sample,
-    similar, splitting, territory, training, upsert,
+    similar, skew, splitting, territory, training, upsert,
 )
 from tenderlens.operators.entities import CUSTOMER, SUPPLIER
 from tenderlens.operators.sample import build_sample
@@ -233,7 +233,8 @@ def sup_prefix_rollup(spark, folder):
 
 @query
 def rolled_up_rows(spark, folder):
-    rows = flatten.roll_up_codes(stages(spark, folder).sample)
+    sample_rows = stages(spark, folder).sample
+    rows = flatten.roll_up_codes(sample_rows, hot=skew.hot_keys(sample_rows, ["supID"]))
     return rows.select(*SAMPLE_KEY, COLUMN, "okpd_cntr_num", "okpd_good_cntr_num",
                        "sup_okpd_cntr_num")
 
@@ -261,7 +262,8 @@ def okpd_count_percentiles(spark, folder):
 
 @query
 def multi_code_contracts(spark, folder):
-    return flatten.multi_code_contracts(stages(spark, folder).sample).select(*SAMPLE_KEY)
+    rows = stages(spark, folder).sample
+    return flatten.multi_code_contracts(rows, skew.hot_keys(rows, ["cntrID"])).select(*SAMPLE_KEY)
 
 
 @query
@@ -303,8 +305,10 @@ def supplier_specialisation(spark, folder):
 @query
 def flatten_contracts(spark, folder):
     """All steps from the sample to one row per contract."""
-    rolled = flatten.roll_up_codes(stages(spark, folder).sample)
-    return rounded(flatten.flatten(rolled, flatten.prefix_codes(rolled, COLUMN)))
+    rows = stages(spark, folder).sample
+    hot = skew.hot_keys(rows, ["supID"])
+    codes = flatten.prefix_codes(flatten.add_prefix(rows), COLUMN)
+    return rounded(flatten.flatten(flatten.roll_up_codes(rows, hot=hot), codes, hot=hot))
 
 
 # ---- features and cleaning ----------------------------------------------------------------
@@ -428,7 +432,7 @@ def train_valid_split(spark, folder):
 @query
 def stratified_folds(spark, folder):
     df, _ = _clean(spark, folder)
-    return splitting.stratified_folds(df, 3, mode="modulo", buckets=64).select(
+    return splitting.stratified_folds(df, 3, mode="modulo").select(
         "cntrID", "cntr_result", "fold")
 
 
@@ -516,6 +520,12 @@ def quantile_grid(spark, folder):
                                          list(NUMERIC)), 4)
 
 
+@query
+def sorted_series(spark, folder):
+    return rounded(explore.sorted_series(stages(spark, folder).prepared.features,
+                                         list(NUMERIC)), 4)
+
+
 @query
 def category_frequency(spark, folder):
     return explore.category_frequency(stages(spark, folder).prepared.features, CATEGORICAL)

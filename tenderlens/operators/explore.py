@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from tenderlens.functions.scalars import clip, ratio
 from tenderlens.operators.encode import category_counts, fit_limits, group_rare
-from tenderlens.operators.running import exact_percentiles
+from tenderlens.operators.running import exact_percentiles, totals_before
 from tenderlens.settings import LABEL
 
 # Pairs of columns correlated in one aggregation; keeps generated code within JVM limits.
@@ -180,6 +182,27 @@ def quantile_grid(df: DataFrame, columns: list[str], steps: int = 100, low: floa
         F.greatest(F.least("value", "hi"), F.col("lo")).alias("clipped"))
 
 
+def sorted_series(df: DataFrame, columns: list[str],
+                  limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(variable, initial, clipped, count, rows_before): every variable's values in order, before
+    and after clipping, one row per distinct value with the number of rows that precede it.
+
+    NULL and NaN are left out. Each variable is folded and cut into slices of its own, so no
+    task orders a whole variable; making the table writes the folded values.
+    """
+    limits = fit_limits(df, columns) if limits is None else limits
+    parts = []
+    for c, (low, high) in limits.items():
+        value = F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+        folded = (df.select(value.alias("initial")).filter("initial is not null")
+                  .groupBy("initial").agg(F.count("*").alias("count")))
+        parts.append(totals_before(folded, "initial", ["count"]).select(
+            F.lit(c).alias("variable"), "initial",
+            clip(F.col("initial"), float(low), float(high)).alias("clipped"), "count",
+            F.col("count_before").alias("rows_before")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def category_frequency(df: DataFrame, columns) -> DataFrame:
     """(variable, category, count), NULL included."""
     pairs = F.explode(F.array(*(

@@ -66,8 +66,11 @@ def supplier_code_totals(rows: DataFrame, column: str) -> DataFrame:
 
 
 def roll_up_codes(rows: DataFrame, length: int = PREFIX_LENGTH,
-                  hot: dict[str, list] | None = None) -> DataFrame:
-    """Code counts replaced by those of the code's prefix; adds the prefix column."""
+                  hot: dict | None = None) -> DataFrame:
+    """Code counts replaced by those of the code's prefix; adds the prefix column.
+
+    Hot suppliers may be hot under any of the few prefixes.
+    """
     column = prefix_column(length)
     rows = add_prefix(rows, length)
     order = rows.columns
@@ -76,17 +79,10 @@ def roll_up_codes(rows: DataFrame, length: int = PREFIX_LENGTH,
     out = rows.drop("okpd_cntr_num", "okpd_good_cntr_num").join(
         stage(code_totals(rows, column), "code_totals"), column)
     out = join_lookup(out.drop("sup_okpd_cntr_num"), supplier_code_totals(rows, column),
-                      ["supID", column], _hot_with(hot, column, rows))
+                      ["supID", column], hot or {}, any_value=(column,))
     return out.select(*order)
 
 
-def _hot_with(hot: dict[str, list] | None, column: str, rows: DataFrame) -> dict[str, list]:
-    """Hot suppliers may be hot under any of the few prefixes."""
-    if not hot or not hot.get("supID"):
-        return {}
-    return {**hot, column: prefix_codes(rows, column)}
-
-
 def code_shares(rows: DataFrame) -> DataFrame:
     """Adds the good share of the code and the supplier's share of contracts under it."""
     return (rows.withColumn("okpd_good_cntr_share", ratio("okpd_good_cntr_num", "okpd_cntr_num"))
@@ -159,10 +155,11 @@ def flatten(rows: DataFrame, codes: list[str], length: int = PREFIX_LENGTH,
     return join_lookup(flat, vector, ["supID"], hot or {}, deal_by="cntrID")
 
 
-def multi_code_contracts(rows: DataFrame) -> DataFrame:
-    """Rows of contracts with more than one row."""
+def multi_code_contracts(rows: DataFrame, hot: dict | None = None) -> DataFrame:
+    """Rows of contracts with more than one row; those of hot contracts are dealt by code."""
     several = rows.groupBy("cntrID").agg(F.count("*").alias("n")).filter("n > 1")
-    return rows.join(several.select("cntrID"), "cntrID", "left_semi")
+    return join_lookup(rows, several.select("cntrID"), ["cntrID"], hot or {}, "left_semi",
+                       deal_by="okpdID")
 
 
 def multi_code_label_split(rows: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def sampled_good(labels: DataFrame, s: Settings, mode: str = "hash") -> DataFram
 
 
 def chosen_values(f: Facts, labels: DataFrame, mode: str = "hash",
-                  existing: DataFrame | None = None) -> DataFrame:
+                  existing: DataFrame | None = None, hot: dict | None = None) -> DataFrame:
     """Value rows of the contracts in the sample, with the contract columns and the label.
 
     Bad contracts give their priced rows. Sampled good contracts that have a priced row, and
@@ -64,7 +64,8 @@ def chosen_values(f: Facts, labels: DataFrame, mode: str = "hash",
         F.col("RefTypePurch").alias("purch_type")).join(picked, "cntrID")
     priced = f.finished_values.filter("price > 0").select("cntrID").distinct()
     contracts = contracts.join(priced, "cntrID", "left_semi")
-    return f.finished_values.join(contracts, "cntrID").filter("cntr_result = 0 or price > 0")
+    return join_lookup(f.finished_values, contracts, ["cntrID"], hot or {}) \
+        .filter("cntr_result = 0 or price > 0")
 
 
 def sample_codes(f: Facts, stats: Statistics, values: DataFrame,
@@ -101,8 +102,8 @@ def customer_profile(f: Facts, stats: Statistics, subjects: DataFrame) -> DataFr
 
 
 def hot_parties(f: Facts) -> dict[str, list]:
-    """Suppliers, customers, prices and codes that hold a large share of the rows."""
-    return {**hot_keys(f.finished_values, ["supID", "orgID", "price"]),
+    """Contracts, suppliers, customers, prices and codes that hold a large share of the rows."""
+    return {**hot_keys(f.finished_values, ["cntrID", "supID", "orgID", "price"]),
             **hot_keys(f.finished_products, ["okpdID"])}
 
 
@@ -133,7 +134,7 @@ def build_sample(f: Facts, stats: Statistics, mode: str = "hash",
     hot = hot_parties(f) if hot is None else hot
     # The walk runs a job per level; both parties read its result.
     subjects = stage(federal_subjects(f.wh), "subjects")
-    values = stage(price_flags(chosen_values(f, stats.cntr_stats, mode, existing), f.s),
+    values = stage(price_flags(chosen_values(f, stats.cntr_stats, mode, existing, hot), f.s),
                    "chosen_values")
     rows = join_lookup(values, supplier_profile(f, stats, subjects), ["supID"], hot)
     rows = join_lookup(rows, customer_profile(f, stats, subjects), ["orgID"], hot)

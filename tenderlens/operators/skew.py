@@ -8,47 +8,70 @@ usual, and no row is lost or added.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import math
 
-# A key is hot from this share of all rows on; so there are at most 1 / HOT_SHARE hot keys.
-HOT_SHARE = 0.02
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+# Slices of a key that a caller names without its share.
 SLICES = 64
-# Counters of the frequency sketch: its count error stays below rows / TRACKED.
-TRACKED = 8192
+# Bound of the hot keys per column, which reach the plan as literals.
+MOST_KEYS = 4096
+
+
+def hot_share(spark: SparkSession) -> float:
+    """A key is hot from a quarter of an even partition on."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1 / (4 * partitions), 1 / MOST_KEYS)
 
 
-def hot_keys(fact: DataFrame, columns: list[str], hot_share: float = HOT_SHARE) -> dict[str, list]:
-    """Values of each column that hold at least ``hot_share`` of the rows.
+def hot_keys(fact: DataFrame, columns: list[str],
+             least: float | None = None) -> dict[str, dict]:
+    """Values of each column that hold at least ``least`` of the rows, with a number of slices
+    that grows with their share: a power of two, so that few numbers occur.
 
-    One mergeable sketch per column in one pass: the driver receives at most 1 / hot_share values.
+    One mergeable sketch per column in one pass: the driver receives at most 1 / least values.
     The answer steers the layout of joins only, never their result.
     """
-    k = int(1 / hot_share)
-    sketches = [F.expr(f"approx_top_k({c}, {k}, {TRACKED})").alias(c) for c in columns]
+    least = hot_share(fact.sparkSession) if least is None else least
+    k = math.ceil(1 / least)
+    sketches = [F.expr(f"approx_top_k({c}, {k}, {max(8192, 16 * k)})").alias(c) for c in columns]
     row = fact.agg(F.count("*").alias("rows"), *sketches).first()
     return {
-        c: [top["item"] for top in (row[c] or [])
-            if top["item"] is not None and top["count"] >= hot_share * row["rows"]]
+        c: {top["item"]: 1 << math.ceil(math.log2(max(2, top["count"] / (least * row["rows"]))))
+            for top in (row[c] or [])
+            if top["item"] is not None and top["count"] >= least * row["rows"]}
         for c in columns
     }
 
 
-def join_lookup(fact: DataFrame, lookup: DataFrame, keys: list[str], hot: dict[str, list],
-                how: str = "inner", deal_by: str = "valID", slices: int = SLICES) -> DataFrame:
-    """``fact.join(lookup, keys, how)`` with the rows of hot keys dealt over ``slices``.
+def _slices(column: str, hot, slices: int) -> Column:
+    """The number of slices of a value, 1 unless it is hot."""
+    numbers = hot if isinstance(hot, dict) else dict.fromkeys(hot, slices)
+    out = F.lit(1)
+    for n in sorted(set(numbers.values())):
+        out = F.when(F.col(column).isin(*(v for v, m in numbers.items() if m == n)),
+                     F.lit(n)).otherwise(out)
+    return out
+
+
+def join_lookup(fact: DataFrame, lookup: DataFrame, keys: list[str], hot: dict,
+                how: str = "inner", deal_by: str = "valID", slices: int = SLICES,
+                any_value: tuple[str, ...] = ()) -> DataFrame:
+    """``fact.join(lookup, keys, how)`` with the rows of hot keys dealt over slices.
 
-    ``hot`` lists hot values per column. Rows are spread where every key column is hot, because
-    a combination can only be hot when each of its parts is.
+    ``hot`` holds hot values per column: as ``hot_keys`` gives them, or a list, dealt over
+    ``slices``. Rows are spread where every key column is hot, because a combination can only be
+    hot when each of its parts is; of the columns in ``any_value`` every value counts as hot.
     """
-    if how not in ("inner", "left"):
+    if how not in ("inner", "left", "left_semi"):
         raise ValueError(how)
-    if not all(hot.get(k) for k in keys):
+    listed = [k for k in keys if k not in any_value]
+    if not listed or not all(hot.get(k) for k in listed):
         return fact.join(lookup, keys, how)
-    is_hot = F.lit(True)
-    for k in keys:
-        is_hot = is_hot & F.col(k).isin(*hot[k])
-    dealt = F.when(is_hot, F.pmod(F.xxhash64(deal_by), F.lit(slices)).cast("int")).otherwise(0)
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
+    numbers = [_slices(k, hot[k], slices) for k in listed]
+    number = F.least(*numbers) if len(numbers) > 1 else numbers[0]
+    dealt = F.pmod(F.xxhash64(deal_by), number).cast("int")
     return (fact.withColumn("_slice", dealt)
-            .join(lookup.withColumn("_slice", F.explode(copies)), [*keys, "_slice"], how)
+            .join(lookup.withColumn("_slice", F.explode(F.sequence(F.lit(0), number - 1))),
+                  [*keys, "_slice"], how)
             .drop("_slice"))

@@ -172,3 +172,11 @@ def test_score_summary_uses_population_deviation(table):
     row = metrics.score_summary(df).first()
     assert (row.time, row.tst_acc, row.tst_acc_std) == (2.0, pytest.approx(0.7),
                                                         pytest.approx(0.2))
+
+
+def test_sorted_series_counts_every_value(table, rows):
+    values = [5.0, 1.0, 1.0, None, float("nan"), 3.0, 100.0]
+    df = table("a double, b double", [(v, None) for v in values])
+    got = rows(explore.sorted_series(df, ["a", "b"], {"a": (1.0, 5.0), "b": (0.0, 1.0)}))
+    assert got == [("a", 1.0, 1.0, 2, 0), ("a", 3.0, 3.0, 1, 2), ("a", 5.0, 5.0, 1, 3),
+                   ("a", 100.0, 5.0, 1, 4)]

@@ -49,7 +49,7 @@ def test_hot_parties_do_not_change_the_sample(warehouse, settings, rows):
     f = Facts(small_warehouse(warehouse), settings)
     stats = statistics(f)
     plain = sample.build_sample(f, stats, "modulo", hot={})
-    hot = {"supID": [SUP], "orgID": [ORG], "price": [0, 100], "okpdID": [1]}
+    hot = {"cntrID": [1, 2], "supID": [SUP], "orgID": [ORG], "price": [0, 100], "okpdID": [1]}
     assert rows(sample.build_sample(f, stats, "modulo", hot=hot)) == rows(plain)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings as hyp, strategies as st
 
-from tenderlens.operators import running, similar, skew, territory
+from tenderlens.operators import flatten, running, similar, skew, territory
 
 
 def brute(facts, wanted):
@@ -76,10 +76,23 @@ def test_parties_without_territory_get_null(warehouse, rows):
 
 def test_hot_keys_finds_a_third_and_nothing_else(spark):
     df = spark.range(9000).selectExpr("IF(id % 3 = 0, 7, id + 100) AS k", "id AS other")
-    assert skew.hot_keys(df, ["k", "other"]) == {"k": [7], "other": []}
+    # A third of the rows is 13.3 times a share of 1 / 40.
+    assert skew.hot_keys(df, ["k", "other"], 1 / 40) == {"k": {7: 16}, "other": {}}
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_from_a_quarter_of_an_even_partition(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    # 2 % of the rows are less than a quarter of one partition in 8, more than that of one in 200.
+    df = spark.range(5000).selectExpr("IF(id % 50 = 0, 7, id + 100) AS k")
+    try:
+        for partitions, hot in ((8, {}), (200, {7: 16}), (10 ** 6, {7: 128})):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            assert {k: n for k, n in skew.hot_keys(df, ["k"])["k"].items() if k == 7} == hot
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 def test_dealt_join_equals_plain_join(spark, rows, how):
     fact = spark.range(3000).selectExpr(
         "id AS valID", "IF(id % 3 = 0, 7, id % 50) AS supID", "id % 4 AS orgID")
@@ -87,6 +100,8 @@ def test_dealt_join_equals_plain_join(spark, rows, how):
     plain = fact.join(lookup, "supID", how)
     dealt = skew.join_lookup(fact, lookup, ["supID"], {"supID": [7, 8]}, how)
     assert rows(dealt, *plain.columns) == rows(plain)
+    dealt = skew.join_lookup(fact, lookup, ["supID"], {"supID": {7: 8, 8: 2, 9: 2}}, how)
+    assert rows(dealt, *plain.columns) == rows(plain)
     pairs = fact.select("supID", "orgID").distinct().selectExpr("*", "supID + orgID AS y")
     plain = fact.join(pairs, ["supID", "orgID"], how)
     hot = {"supID": [7], "orgID": [0, 3]}
@@ -109,6 +124,21 @@ def test_dealt_join_spreads_the_hot_key(spark):
     assert sum(sizes) == 2001 and max(sizes) < 1500 and len(sizes) > 1
 
 
+def test_hot_contract_is_spread_over_tasks(spark):
+    """A contract with a third of all rows: no task of the semi-join holds most of it."""
+    fact = spark.range(6000).selectExpr("id AS okpdID", "IF(id % 3 = 0, 7, id) AS cntrID")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        several = flatten.multi_code_contracts(fact, skew.hot_keys(fact, ["cntrID"]))
+        sizes = [n for n in several.rdd.mapPartitions(
+            lambda it: [sum(1 for _ in it)]).collect() if n]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 2001 and max(sizes) < 1000
+
+
 def test_totals_before_with_many_slices(spark, rows):
     df = spark.range(1000).selectExpr("CAST(id * id % 1009 AS DOUBLE) AS o", "id AS n")
     df = df.groupBy("o").sum("n").withColumnRenamed("sum(n)", "n")

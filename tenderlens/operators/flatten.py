@@ -94,14 +94,19 @@ def codes_per_contract(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cntrID").agg(F.count("*").alias("okpd_num"))
 
 
-def multi_hot_columns(column: str, codes: list[str]) -> list[Column]:
-    """One 0/1 aggregate per code: does any row of the group carry it."""
-    return [F.max(flag(F.col(column) == c)).alias(f"{column}_{c}") for c in codes]
+def multi_hot_columns(found: Column, column: str, codes: list[str]) -> list[Column]:
+    """One 0/1 column per code: is it among the found ones."""
+    return [flag(F.array_contains(found, c)).alias(f"{column}_{c}") for c in codes]
 
 
 def multi_hot(rows: DataFrame, column: str, codes: list[str]) -> DataFrame:
-    """(cntrID, <prefix>_<code>...): union of the codes of the contract."""
-    return rows.groupBy("cntrID").agg(*multi_hot_columns(column, codes))
+    """(cntrID, <prefix>_<code>...): union of the codes of the contract.
+
+    The codes of a contract are one set, which combines before the shuffle and holds no more
+    than the distinct codes.
+    """
+    found = rows.groupBy("cntrID").agg(F.collect_set(column).alias("_codes"))
+    return found.select("cntrID", *multi_hot_columns(F.col("_codes"), column, codes))
 
 
 def good_share_range(rows: DataFrame, column: str) -> DataFrame:
@@ -129,17 +134,22 @@ def flatten(rows: DataFrame, codes: list[str], length: int = PREFIX_LENGTH,
             first_only: bool = False, hot: dict[str, list] | None = None) -> DataFrame:
     """One row per contract from rolled-up rows.
 
-    One grouped pass yields the kept row, the row count, the multi-hot codes and the good share
-    per code, from which its range follows. The supplier's vector joins the folded rows, not the
-    exploded ones.
+    One grouped pass yields the kept row, the row count and the set of (code, good share), from
+    which the multi-hot columns and the range of the share follow: one aggregate, however many
+    codes there are. The supplier's vector joins the folded rows, not the exploded ones.
     """
     column = prefix_column(length)
     rows = code_shares(rows)
     rest = [c for c in rows.columns if c not in ("cntrID", *ROW_ORDER)]
-    shares = [F.max(F.when(F.col(column) == c, F.col("okpd_good_cntr_share"))) for c in codes]
+    pair = F.struct(F.col(column).alias("code"), F.col("okpd_good_cntr_share").alias("share"))
     grouped = rows.groupBy("cntrID").agg(
         F.min(F.struct(*ROW_ORDER, *rest)).alias("first"), F.count("*").alias("okpd_num"),
-        F.array(*shares).alias("shares"), *multi_hot_columns(column, codes))
+        F.collect_set(pair).alias("pairs"))
+    listed = F.array(*(F.lit(c) for c in codes)).cast("array<string>")
+    shares = F.transform(listed, lambda c: F.array_max(F.transform(
+        F.filter("pairs", lambda x: x["code"] == c), lambda x: x["share"])))
+    grouped = grouped.select("cntrID", "first", "okpd_num", shares.alias("shares"),
+                             *multi_hot_columns(F.col("pairs.code"), column, codes))
     known = F.filter("shares", lambda s: s.isNotNull())
     flat = grouped.withColumns({
         "okpd_good_share_min": F.array_min("shares"),

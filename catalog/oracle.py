@@ -673,8 +673,8 @@ def _build() -> dict[str, str]:
                      quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi
               FROM ({long(NUMERIC, 'feat')}) GROUP BY variable)""", "feat")
     add("sorted_series", f"""
-        SELECT variable, round(v, 4) AS initial,
-               round(greatest(least(v, hi), lo), 4) AS clipped, count,
+        SELECT variable, round(v, 10) AS initial,
+               round(greatest(least(v, hi), lo), 10) AS clipped, count,
                CAST(sum(count) OVER (PARTITION BY variable ORDER BY v) - count AS BIGINT)
                    AS rows_before
         FROM (SELECT variable, v, count(*) AS count FROM ({long(NUMERIC, 'feat')})

@@ -523,7 +523,7 @@ def quantile_grid(spark, folder):
 @query
 def sorted_series(spark, folder):
     return rounded(explore.sorted_series(stages(spark, folder).prepared.features,
-                                         list(NUMERIC)), 4)
+                                         list(NUMERIC)), 10)
 
 
 @query

@@ -3,11 +3,14 @@
 The vocabulary is a trie of UTF-8 bytes with failure links and, for each link, the number of
 pieces it completes ("popped"), as published for linear-time word-piece tokenisation: a word is
 read once; where the trie has no edge, the popped count is added and the failure link followed.
-A piece that starts with the marker stands at the start of a word, others continue it.
+A word is read with one marker in front of it, and every piece of the vocabulary takes part: the
+marker alone is one token where no piece joins it to the first character, and a character without
+a piece of its own is one token for each of its bytes.
 
-Words are runs of characters other than ASCII white space. A word that the vocabulary cannot cover
-counts as one unknown token. ``n_tokens`` sums over a text's words; every distinct word of a slice
-of texts runs through the automaton once and its length is joined back by position.
+Words are runs of characters other than ASCII white space. A word that the vocabulary cannot cover,
+as one without byte pieces may not, counts as one unknown token. ``n_tokens`` sums over a text's
+words; every distinct word of a slice of texts runs through the automaton once and its length is
+joined back by position.
 
 A null text is empty and has no tokens. Rows are counted one by one; null keys stay null; other
 columns are ignored.
@@ -28,7 +31,10 @@ SCHEMA = "doc_id long, n_words long, n_unknown long, n_tokens long"
 
 
 class LongestMatch:
-    """Node 0 starts a word, node 1 continues one; both are roots of their own part."""
+    """Node 0 starts a word, node 1 continues one; both are roots of their own part.
+
+    An empty starting piece is the marker alone: node 0 pops it and goes on at node 1.
+    """
 
     def __init__(self, starting: set[bytes], continuing: set[bytes]):
         edges: list[dict[int, int]] = [{}, {}]
@@ -45,8 +51,10 @@ class LongestMatch:
                         final.append(False)
                         parent.append((node, byte))
                     node = child
-                final[node] = node > 1
+                final[node] = node != 1
         fail, popped = [-1] * len(edges), [0] * len(edges)
+        if final[0]:
+            fail[0], popped[0] = 1, 1
         layer = [0, 1]
         while layer:
             layer = [child for node in layer for child in edges[node].values()]
@@ -89,11 +97,14 @@ def automaton(path: str) -> LongestMatch:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = [model.id_to_piece(i) for i in range(model.vocab_size())
-             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return LongestMatch({n[1:].encode() for n in names if n.startswith(MARK) and MARK not in n[1:]
-                         and len(n) > 1},
-                        {n.encode() for n in names if MARK not in n})
+    names, single = [], set()
+    for i in range(model.vocab_size()):
+        if model.is_byte(i):
+            single.add(bytes([int(model.id_to_piece(i)[3:5], 16)]))
+        elif not (model.is_control(i) or model.is_unknown(i)):
+            names.append(model.id_to_piece(i))
+    return LongestMatch({n[1:].encode() for n in names if n.startswith(MARK)},
+                        {n.encode() for n in names} | single)
 
 
 def _count(path: str):

@@ -114,6 +114,10 @@ class _Parser:
         self.held += data
         while True:
             if self.need < 0:
+                # A last block that ends in CRLF takes half of the separator behind it, so the
+                # file's last piece is the other half, and one separator too many is fed.
+                while self.held.startswith(b"\r\n\r\n"):
+                    del self.held[:4]
                 at = self.held.find(b"\r\n\r\n")
                 if at < 0:
                     return

@@ -9,8 +9,10 @@ its text was the same on all of them, and how much of its text stands in links.
 
 Reading a page, its tree is aligned with its host's template; a text run is content if its slot
 
-- does not lie under an element that is never content (``DROPPED`` tags, names in ``FURNITURE``,
-  hidden elements),
+- does not lie under an element that is never content (``DROPPED`` tags, a whole class, id or role
+  in ``FURNITURE``, hidden elements); html, body, main, article and what holds one of them are never
+  dropped by such a name (an article whose own names tell of furniture, such as one comment, saves
+  what holds it only on a page that would have no article else),
 - lies in the article (or main) element, if the page has one,
 - does not stand mostly in links, outside an article,
 - is no template text: the same on at least ``MIN_PAGES`` pages whose other content varies.
@@ -48,6 +50,8 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
           "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span",
           "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 ARTICLE = {"article", "main"}
+#: Elements that no name drops.
+KEPT = ARTICLE | {"html", "body"}
 #: An element that opens ends one of these that is open in the same container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
         "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -75,10 +79,11 @@ _word = re.compile(r"[a-z]+")
 class Node:
     """An element or, with the label ``#``, a run of text; also a node of a template."""
 
-    __slots__ = ("label", "kids", "dropped", "text", "pages", "value", "chars", "linked", "into")
+    __slots__ = ("label", "kids", "dropped", "named", "text", "pages", "value", "chars", "linked",
+                 "into")
 
     def __init__(self, label: str, dropped: bool = False, text: str = ""):
-        self.label, self.dropped, self.text = label, dropped, text
+        self.label, self.dropped, self.named, self.text = label, dropped, False, text
         self.kids: list[Node] = []
         self.pages, self.value, self.chars, self.linked = 1, None, 0, 0
         self.into: Node | None = None
@@ -148,12 +153,14 @@ def parse(html: str) -> Node:
                     link = 0
                     break
             continue
-        names = []
+        names, tokens, hidden = [], [], False
         if attributes:
-            names = [n for m in _names.finditer(attributes)
-                     for n in _word.findall((m[2] or m[3] or m[4] or "").lower())]
-        furniture = not FURNITURE.isdisjoint(names) or (
-            bool(attributes) and _hidden.search(attributes) is not None)
+            tokens = [t for m in _names.finditer(attributes)
+                      for t in (m[2] or m[3] or m[4] or "").lower().split()]
+            names = [n for t in tokens for n in _word.findall(t)]
+            hidden = _hidden.search(_names.sub(" ", attributes)) is not None
+        named = name not in KEPT and not FURNITURE.isdisjoint(tokens)
+        furniture = named or hidden
         if name in RAW:
             end = re.compile(rf"(?i)</{re.escape(name)}[\s/>]").search(html, at)
             at = end.start() if end else size
@@ -179,12 +186,45 @@ def parse(html: str) -> Node:
                     break
         label = f"{name}.{'-'.join(names) or 'hidden'}" if names or furniture else name
         node = Node(label, furniture or name in DROPPED)
+        node.named = named and not hidden and name not in DROPPED
         stack[-1].kids.append(node)
         stack.append(node)
     close_run()
+    _spare(root, False)
+    if not _has_article(root):
+        _spare(root, True)
+    _mark_dropped(root)
     return root
 
 
+def _spare(node: Node, any_article: bool) -> bool:
+    """Keeps what was dropped by name but holds a part of the page that is not; whether the node
+    holds an article or main element. Articles with names of furniture count on demand only."""
+    name, _, names = node.label.partition(".")
+    holds = name in KEPT and (any_article or name != "article"
+                              or FURNITURE.isdisjoint(names.split("-")))
+    if node.dropped and not node.named:
+        return False
+    for kid in node.kids:
+        holds = _spare(kid, any_article) or holds
+    if holds:
+        node.dropped = False
+    return holds
+
+
+def _has_article(node: Node) -> bool:
+    return not node.dropped and (node.label.split(".", 1)[0] in ARTICLE
+                                 or any(map(_has_article, node.kids)))
+
+
+def _mark_dropped(node: Node) -> None:
+    """A node that is dropped is never aligned with one that is not."""
+    if node.dropped:
+        node.label += "!" if "." in node.label else ".!"
+    for kid in node.kids:
+        _mark_dropped(kid)
+
+
 def matching(a: Node, b: Node) -> int:
     """Size of the largest simple tree matching of two trees."""
     if a.label != b.label:

@@ -5,7 +5,8 @@ each other are folded into one node, so a template does not grow with the length
 The folded trees of all pages of a host are aligned by simple tree matching into one template,
 first within a task, then across tasks (one template per task and host is shuffled, so a host with
 a third of all pages is no hot group). A template node knows on how many pages it stands, whether
-its text was the same on all of them, and how much of its text stands in links.
+its text was the same on all of them, up to ``MIN_PAGES`` different hashes of these pages' other
+text, and how much of its text stands in links.
 
 Reading a page, its tree is aligned with its host's template; a text run is content if its slot
 
@@ -15,7 +16,8 @@ Reading a page, its tree is aligned with its host's template; a text run is cont
   what holds it only on a page that would have no article else),
 - lies in the article (or main) element, if the page has one,
 - does not stand mostly in links, outside an article,
-- is no template text: the same on at least ``MIN_PAGES`` pages whose other content varies.
+- is no template text: the same on at least ``MIN_PAGES`` pages of which no two have the same other
+  text, so copies of one article count as one page.
 
 A page whose html is null, empty or without content gives an empty text; one without url belongs
 to the host "". Repeated rows give repeated results; null keys stay null; other columns are
@@ -79,13 +81,14 @@ _word = re.compile(r"[a-z]+")
 class Node:
     """An element or, with the label ``#``, a run of text; also a node of a template."""
 
-    __slots__ = ("label", "kids", "dropped", "named", "text", "pages", "value", "chars", "linked",
-                 "into")
+    __slots__ = ("label", "kids", "dropped", "named", "text", "pages", "value", "others", "chars",
+                 "linked", "into")
 
     def __init__(self, label: str, dropped: bool = False, text: str = ""):
         self.label, self.dropped, self.named, self.text = label, dropped, False, text
         self.kids: list[Node] = []
         self.pages, self.value, self.chars, self.linked = 1, None, 0, 0
+        self.others: list[int] = []
         self.into: Node | None = None
 
     def slot(self) -> Node:
@@ -96,13 +99,13 @@ class Node:
 
     def pack(self) -> list:
         return [self.label, int(self.dropped), self.pages, self.value, self.chars, self.linked,
-                [k.pack() for k in self.kids]]
+                self.others, [k.pack() for k in self.kids]]
 
 
 def unpack(packed: list) -> Node:
     node = Node(packed[0], bool(packed[1]))
-    node.pages, node.value, node.chars, node.linked = packed[2:6]
-    node.kids = [unpack(k) for k in packed[6]]
+    node.pages, node.value, node.chars, node.linked, node.others = packed[2:7]
+    node.kids = [unpack(k) for k in packed[7]]
     return node
 
 
@@ -275,7 +278,9 @@ def merge(a: Node, b: Node, one_page: bool = False, grow: bool = True) -> None:
         else:
             a.pages += b.pages
             if a.value != b.value:
-                a.value = None
+                a.value, a.others = None, []
+            elif a.value is not None and len(a.others) < MIN_PAGES and a.others != b.others:
+                a.others = sorted({*a.others, *b.others})[:MIN_PAGES]
     pairs = _pairs(a.kids, b.kids)
     placed = {j: i for i, j in pairs}
     for i, j in pairs:
@@ -305,27 +310,43 @@ def fold(node: Node) -> Node:
     return out
 
 
-def content_slots(template: Node) -> set[int]:
-    """Ids of the template's text nodes that hold content."""
+def page_template(html: str) -> Node:
+    """A template of one page whose text nodes know the hash of the page's other text: that of its
+    article or else all that may be content."""
+    root = fold(parse(html))
+    found = _candidates(root)
+    inside = any(within for _, within in found)
+    counted = {id(n): n.value for n, within in found if within or not inside}
+    total = sum(counted.values())
+    for node, _ in found:
+        node.others = [(total - counted.get(id(node), 0)) & (2 ** 62 - 1)]
+    return root
+
+
+def _candidates(root: Node) -> list[tuple[Node, bool]]:
+    """Text nodes that are not dropped and, outside an article, not mostly links; whether they lie
+    in an article."""
     found: list[tuple[Node, bool]] = []
 
     def walk(node, inside):
         if node.dropped:
             return
         inside = inside or node.label.split(".", 1)[0] in ARTICLE
-        if node.label == "#":
+        if node.label == "#" and (inside or node.linked <= MOST_LINKED * node.chars):
             found.append((node, inside))
         for kid in node.kids:
             walk(kid, inside)
 
-    walk(template, False)
+    walk(root, False)
+    return found
+
+
+def content_slots(template: Node) -> set[int]:
+    """Ids of the template's text nodes that hold content."""
+    found = _candidates(template)
     if any(inside for _, inside in found):
         found = [(n, inside) for n, inside in found if inside]
-    found = [(n, inside) for n, inside in found
-             if inside or n.linked <= MOST_LINKED * n.chars]
-    varies = any(n.value is None for n, _ in found)
-    return {id(n) for n, _ in found
-            if not (varies and n.value is not None and n.pages >= MIN_PAGES)}
+    return {id(n) for n, _ in found if n.value is None or len(n.others) < MIN_PAGES}
 
 
 def content(page: Node, template: Node, slots: set[int]) -> str:
@@ -373,7 +394,7 @@ def _induce(batches):
     found: dict[str, Node] = {}
     for batch in batches:
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            page = fold(parse(html))
+            page = page_template(html)
             if host in found:
                 merge(found[host], page)
             else:

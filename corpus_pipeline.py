@@ -17,8 +17,8 @@ SIMILAR_PERCENT = 80
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, unchanged."""
-    return quality.keep_good(docs)
+    """Documents that the quality rules keep, without the lines that fail; n_chars follows."""
+    return quality.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

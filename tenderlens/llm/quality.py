@@ -11,7 +11,8 @@ space; w is their number):
 
 A document is kept if it passes the base rules (``MIN_WORDS`` words, at most ``MAX_REPEATED``
 percent of them in repeated 5-word windows) and its failed lines hold at most ``MAX_LOST`` percent
-of the code points of its words. Null and empty texts have no words and are not kept. Rows are
+of the code points of its words. ``quality`` measures and judges, ``clean`` gives the kept documents
+without their failed lines; lines without words stay. Null and empty texts have no words and are not kept. Rows are
 judged one by one, so repeated rows give repeated results; a null key stays null. Other columns of
 the input are ignored, whatever their names.
 """
@@ -22,11 +23,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from tenderlens.llm.texts import (
-    NOT_SPACE, SpanHash, Texts, byte_set, equal_neighbours, filter_rows, per_slice, utf8,
-    window_hashes)
+    NOT_SPACE, SpanHash, Texts, byte_set, equal_neighbours, filter_rows, per_slice, slices,
+    utf8, window_hashes)
 
 MIN_WORDS = 10
 MAX_REPEATED = 20
@@ -65,7 +67,8 @@ def line_fails(line: bytes, words: int) -> bool:
 
 
 def _per_line(t: Texts, word_chars: np.ndarray, words: np.ndarray, starts: np.ndarray):
-    """Duplicate lines, failed lines and the word characters of failed lines, for each text."""
+    """Duplicate lines, failed lines and the word characters of failed lines, for each text, and
+    where the failed lines start and end."""
     breaks = np.flatnonzero(t.data == 10)
     start, end = breaks[:-1] + 1, breaks[1:]
     owner = np.searchsorted(t.start, start, "right") - 1
@@ -80,10 +83,16 @@ def _per_line(t: Texts, word_chars: np.ndarray, words: np.ndarray, starts: np.nd
                         bool, len(start))
     chars = np.concatenate([[0], np.cumsum(word_chars)])
     lost = np.bincount(owner[fails], (chars[last] - chars[first])[fails], len(t)).astype(np.int64)
-    return repeats, np.bincount(owner[fails], minlength=len(t)), lost
+    failed = np.bincount(owner[fails], minlength=len(t))
+    return repeats, failed, lost, start[fails], end[fails]
 
 
 def _measure(keys: list, bodies: list[bytes]) -> dict:
+    return _judge(keys, bodies)[0]
+
+
+def _judge(keys: list, bodies: list[bytes]) -> tuple[dict, list[bytes]]:
+    """The measures of the texts and the texts without their failed lines."""
     t = Texts(bodies)
     starts, ends = t.spans(NOT_SPACE)
     counts = t.counts(starts)
@@ -103,15 +112,34 @@ def _measure(keys: list, bodies: list[bytes]) -> dict:
         covered[at[twice] + j] = True
     repeated = np.bincount(owner[covered[: len(starts)]], minlength=len(t))
 
-    duplicates, failed, lost = _per_line(t, word_chars, counts, starts)
+    duplicates, failed, lost, start, end = _per_line(t, word_chars, counts, starts)
     base_failed = (counts < MIN_WORDS) | (100 * repeated > MAX_REPEATED * counts)
-    return {
+    measures = {
         "doc_id": pa.array(keys, pa.int64()), "n_words": counts, "word_chars": chars,
         "n_symbols": t.per_text(SYMBOLS[t.data]), "n_dup_lines": duplicates,
         "n_repeat_words": repeated, "base_failed": base_failed,
         "kept": ~base_failed & (100 * lost <= MAX_LOST * chars),
         "n_failed_lines": failed, "lost_chars": lost,
     }
+    return measures, _without(t, bodies, failed, start, end)
+
+
+def _without(t: Texts, bodies: list[bytes], failed: np.ndarray, start: np.ndarray,
+             end: np.ndarray) -> list[bytes]:
+    """The texts without the lines at ``start`` to ``end``, ``failed`` of them in each text; each
+    goes with the line feed behind it or, as the last line, with the one before what is left."""
+    out, last = list(bodies), np.cumsum(failed)
+    for i in np.flatnonzero(failed).tolist():
+        own = slice(last[i] - failed[i], last[i])
+        parts, at = [], 0
+        for a, b in zip((start[own] - t.start[i]).tolist(), (end[own] - t.start[i]).tolist()):
+            parts.append(bodies[i][at:a])
+            at = b + 1
+        if at > len(bodies[i]):
+            out[i] = b"".join(parts).removesuffix(b"\n")
+        else:
+            out[i] = b"".join(parts) + bodies[i][at:]
+    return out
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,6 +152,31 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     return filter_rows(docs, text, lambda bodies: _measure([None] * len(bodies), bodies)["kept"])
 
 
+def clean(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents whose verdict is ``kept``, their texts without the lines that failed; other
+    columns as they are, but ``n_chars``, if there is one, follows the text."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            column = pc.fill_null(batch.column(at).cast(pa.string()), "")
+            bodies = [x.encode() for x in column.to_pylist()]
+            marks, texts = [], []
+            for low, high in slices(bodies):
+                measures, left = _judge([None] * (high - low), bodies[low:high])
+                marks.append(measures["kept"])
+                texts += [x.decode() for x in left]
+            if marks:
+                yield batch.set_column(at, batch.schema.field(at),
+                                       pa.array(texts, batch.schema.field(at).type)) \
+                    .filter(pa.array(np.concatenate(marks)))
+
+    out = docs.mapInArrow(run, docs.schema)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length(f"`{text}`").cast(docs.schema["n_chars"].dataType))
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 _SPACES = r"[\x20\x09-\x0D]+"
 

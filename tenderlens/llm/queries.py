@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tenderlens.llm import (
-    chat, decontaminate, html, jaccard, lengths, licenses, pieces, quality, suffixes, warc)
+    chat, decontaminate, html, jaccard, lengths, licenses, pieces, quality, suffixes, warc,
+    whitening)
 from tenderlens.llm.texts import bounded_batches
 
 
@@ -69,6 +70,10 @@ def op10_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.digests(table(spark, folder, "documents"))
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_chat": op9_chat,
     "op10_suffixes": op10_suffixes,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE = {

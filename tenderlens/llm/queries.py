@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tenderlens.llm import (
-    chat, decontaminate, html, jaccard, lengths, licenses, pieces, quality, suffixes, warc,
+    chat, decontaminate, html, imatch, jaccard, lengths, licenses, pieces, quality, suffixes, warc,
     whitening)
 from tenderlens.llm.texts import bounded_batches
 
@@ -70,6 +70,10 @@ def op10_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.digests(table(spark, folder, "documents"))
 
 
+def op11_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, folder, "documents"))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(table(spark, folder, "embeddings"))
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_chat": op9_chat,
     "op10_suffixes": op10_suffixes,
+    "op11_imatch": op11_imatch,
     "op13_whitening": op13_whitening,
 }
 
@@ -92,4 +97,5 @@ ORACLE = {
     "op4_quality": quality.SQL,
     "op7_warc": warc.SQL,
     "op9_chat": chat.SQL,
+    "op11_imatch": imatch.SQL,
 }

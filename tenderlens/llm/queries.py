@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tenderlens.llm import (
-    chat, decontaminate, html, imatch, jaccard, lengths, licenses, pieces, quality, suffixes, warc,
-    whitening)
+    chat, decontaminate, html, imatch, jaccard, lengths, licenses, pieces, quality, spelling,
+    suffixes, warc, whitening)
 from tenderlens.llm.texts import bounded_batches
 
 
@@ -74,6 +74,10 @@ def op11_imatch(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.fingerprints(table(spark, folder, "documents"))
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(table(spark, folder, "embeddings"))
 
@@ -90,6 +94,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_suffixes": op10_suffixes,
     "op11_imatch": op11_imatch,
+    "op12_spelling": op12_spelling,
     "op13_whitening": op13_whitening,
 }
 

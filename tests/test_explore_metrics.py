@@ -139,8 +139,8 @@ def test_one_class_has_no_auc(table):
 
 def test_roc_points(scored, rows):
     got = rows(metrics.roc_points(scored))
-    assert got[0] == (0.0, 1.0, 1.0) and got[-1] == (1.0, 0.0, 0.2)
-    assert len(got) == len({p for _, p in SCORED})
+    assert got[:2] == [(None, 0.0, 0.0), (0.0, 1.0, 1.0)] and got[-1] == (1.0, 0.0, 0.2)
+    assert len(got) == len({p for _, p in SCORED}) + 1
 
 
 def test_confusion_and_report(scored, rows):
@@ -161,8 +161,9 @@ def test_bins(scored, rows):
     assert rows(metrics.probability_histogram(scored)) == [
         (0, 1), (2, 2), (4, 1), (5, 2), (6, 1), (9, 3)]
     curve = {r.bin: r for r in metrics.calibration_curve(scored).collect()}
-    assert set(curve) == {0, 2, 4, 5, 6, 9}
-    assert curve[9].positive_share == pytest.approx(2 / 3)
+    # A probability on an inner edge belongs to the lower bin.
+    assert set(curve) == {0, 1, 3, 4, 5, 8, 9}
+    assert curve[8].positive_share == pytest.approx(1 / 2) and curve[9].positive_share == 1.0
     assert rows(metrics.label_by_probability(scored))[-1] == (1.0, 0, 1)
 
 

@@ -37,6 +37,14 @@ class Facts:
     def recent_values(self) -> DataFrame:
         return _recent_values(self.wh, self.s)
 
+    @cached_property
+    def contracts(self) -> DataFrame:
+        """Finished, recent contracts with the columns that the sample takes from them."""
+        return finished_contracts(self.wh, self.s).select(
+            F.col("ID").alias("cntrID"), F.col("RegNum").alias("cntr_reg_num"),
+            F.col("RefSignDate").alias("sign_date"), F.col("RefExecution").alias("exec_date"),
+            F.col("RefTypePurch").alias("purch_type"))
+
     @cached_property
     def finished_products(self) -> DataFrame:
         return _finished_products(self.wh, self.s)
@@ -52,7 +60,7 @@ class Facts:
 
     def staged(self) -> "Facts":
         out = Facts(self.wh, self.s)
-        names = ("recent_values", "finished_products", "endings")
+        names = ("recent_values", "contracts", "finished_products", "endings")
         out.__dict__.update(stage_all({n: getattr(self, n) for n in names}))
         return out
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tenderlens.operators.facts import Facts, finished_contracts
+from tenderlens.operators.facts import Facts
 from tenderlens.sources.warehouse import Warehouse
 
 
@@ -17,7 +17,7 @@ def contract_labels(f: Facts) -> DataFrame:
     # Distinct first: a contract with very many value rows is one key in the shuffle.
     valued = f.recent_values.select("cntrID").distinct()
     endings = f.endings.join(valued, "cntrID", "left_semi")
-    return (finished_contracts(f.wh, f.s).select(F.col("ID").alias("cntrID")).distinct()
+    return (f.contracts.select("cntrID").distinct()
             .join(endings, "cntrID", "left")
             .select(F.col("cntrID").alias("CntrID"), F.col("label").alias("result")))
 

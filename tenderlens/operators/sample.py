@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tenderlens.functions.scalars import flag, hash_percent, share
 from tenderlens.operators import codes as code_ops
-from tenderlens.operators.facts import Facts, finished_contracts
+from tenderlens.operators.facts import Facts
 from tenderlens.operators.similar import similar_price_counts
-from tenderlens.operators.skew import hot_keys, join_lookup
+from tenderlens.operators.skew import grids, hot_keys, join_grid, join_lookup
 from tenderlens.operators.territory import (
     customer_territory, federal_subjects, supplier_territory,
 )
@@ -58,10 +58,7 @@ def chosen_values(f: Facts, labels: DataFrame, mode: str = "hash",
         good = good.join(taken, "CntrID", "left_anti")
     picked = bad.unionByName(good).select(
         F.col("CntrID").alias("cntrID"), F.col("result").alias("cntr_result"))
-    contracts = finished_contracts(f.wh, f.s).select(
-        F.col("ID").alias("cntrID"), F.col("RegNum").alias("cntr_reg_num"),
-        F.col("RefSignDate").alias("sign_date"), F.col("RefExecution").alias("exec_date"),
-        F.col("RefTypePurch").alias("purch_type")).join(picked, "cntrID")
+    contracts = f.contracts.join(picked, "cntrID")
     priced = f.finished_values.filter("price > 0").select("cntrID").distinct()
     contracts = contracts.join(priced, "cntrID", "left_semi")
     return join_lookup(f.finished_values, contracts, ["cntrID"], hot or {}) \
@@ -72,9 +69,11 @@ def sample_codes(f: Facts, stats: Statistics, values: DataFrame,
                  hot: dict[str, list]) -> DataFrame:
     """Codes of each chosen (contract, supplier), with the code and (supplier, code) counts.
 
-    Works on narrow distinct keys, so product lines are folded before anything is multiplied.
+    Works on narrow distinct keys, so product lines are folded before anything is multiplied. A
+    contract may have very many suppliers and very many codes, so the two are dealt as a grid.
     """
-    pairs = values.select("cntrID", "supID").distinct()
+    # Staged, as they are measured before they are joined.
+    pairs = stage(values.select("cntrID", "supID").distinct(), "pairs")
     contract_codes = code_ops.contract_codes(f).select("cntrID", "okpdID", "okpd")
     supplier_codes = stats.okpd_sup_stats.select(
         F.col("SupID").alias("supID"), F.col("OkpdID").alias("okpdID"),
@@ -82,7 +81,10 @@ def sample_codes(f: Facts, stats: Statistics, values: DataFrame,
     code_counts = stats.okpd_stats.select(
         F.col("OkpdID").alias("okpdID"), F.col("cntr_num").alias("okpd_cntr_num"),
         F.col("good_cntr_num").alias("okpd_good_cntr_num"))
-    exploded = pairs.join(contract_codes, "cntrID").join(code_counts, "okpdID")
+    contract_codes = stage(contract_codes.join(pairs.select("cntrID").distinct(), "cntrID",
+                                               "left_semi"), "contract_codes")
+    exploded = join_grid(pairs, contract_codes, ["cntrID"], ["supID"], ["okpdID"])
+    exploded = join_lookup(exploded, code_counts, ["okpdID"], hot, deal_by="cntrID")
     return join_lookup(exploded, supplier_codes, ["supID", "okpdID"], hot, deal_by="cntrID")
 
 
@@ -143,7 +145,11 @@ def build_sample(f: Facts, stats: Statistics, mode: str = "hash",
         F.col("cntr_num").alias("cntr_num_together"))
     rows = join_lookup(rows, together, ["supID", "orgID"], hot)
     rows = with_similar_shares(rows, f, values, hot)
-    rows = rows.join(sample_codes(f, stats, values, hot), ["cntrID", "supID"])
+    # A (contract, supplier) may have many value rows and many codes. Lookups keep the number of
+    # its rows, so the chosen values tell it.
+    both = ["cntrID", "supID"]
+    codes = stage(sample_codes(f, stats, values, hot), "codes")
+    rows = join_grid(rows, codes, both, ["valID"], ["okpdID"], grids(values, codes, both))
     return rows.select(*(F.col(c.name).cast(c.dataType).alias(c.name)
                          for c in DERIVED["sample"].fields))
 

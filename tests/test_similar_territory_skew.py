@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings as hyp, strategies as st
+from pyspark.sql import functions as F
 
 from tenderlens.operators import flatten, running, similar, skew, territory
 
@@ -139,6 +140,64 @@ def test_hot_contract_is_spread_over_tasks(spark):
     assert sum(sizes) == 2001 and max(sizes) < 1000
 
 
+def hot_pairs(spark, n=400):
+    """Key 7 has a third of the rows of either side, key None and 9 stand on one side only."""
+    left = spark.range(3 * n).selectExpr(
+        "id AS valID", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN NULL ELSE id END AS k")
+    right = spark.range(3 * n).selectExpr(
+        "id AS okpdID", "CASE WHEN id % 3 = 0 THEN 7 WHEN id = 1 THEN 9 ELSE id END AS k")
+    return left, right
+
+
+@pytest.mark.parametrize("partitions", [2, 16, 64])
+def test_grid_join_equals_plain_join(spark, rows, partitions):
+    left, right = hot_pairs(spark, 40)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        hot = skew.grids(left, right, ["k"]).collect()
+        assert [r.k for r in hot] == [7] and hot[0]._rows * hot[0]._columns >= partitions
+        dealt = skew.join_grid(left, right, ["k"], ["valID"], ["okpdID"])
+        plain = left.join(right, "k")
+        assert dealt.columns == plain.columns and rows(dealt) == rows(plain)
+        assert rows(dealt)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_grid_follows_the_longer_side(spark):
+    left = spark.range(900).selectExpr("1 AS k", "id AS a")
+    right = spark.range(4).selectExpr("1 AS k", "id AS b")
+    row = skew.grids(left, right, ["k"]).first()
+    assert row._rows > row._columns and row._columns <= 4
+    one = skew.grids(left, right.limit(1), ["k"]).first()
+    assert (one._columns, one._rows > 1) == (1, True)
+    assert skew.join_grid(left, right, ["k"], ["a"], ["b"]).count() == 3600
+    assert skew.join_grid(left.limit(0), right, ["k"], ["a"], ["b"]).count() == 0
+
+
+def test_hot_contract_on_both_sides_leaves_no_large_task(spark):
+    """A contract with a third of the rows of both sides: tasks hold about equal parts of what
+    it joins to, where the plain join puts all of it into one."""
+    left, right = hot_pairs(spark)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false",
+                "spark.sql.shuffle.partitions": "16"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        per_task = lambda df: sorted(
+            r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        plain = per_task(left.join(right, "k"))
+        dealt = per_task(skew.join_grid(left, right, ["k"], ["valID"], ["okpdID"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(plain) == sum(dealt) and plain[-1] > 0.9 * sum(plain)
+    assert len(dealt) == 16 and dealt[-1] < 3 * dealt[len(dealt) // 2]
+
+
 def test_totals_before_with_many_slices(spark, rows):
     df = spark.range(1000).selectExpr("CAST(id * id % 1009 AS DOUBLE) AS o", "id AS n")
     df = df.groupBy("o").sum("n").withColumnRenamed("sum(n)", "n")

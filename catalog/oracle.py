@@ -749,6 +749,28 @@ def _build() -> dict[str, str]:
                      avg({_LOSS}) AS ll
               FROM scored JOIN contracts ON ID = cntrID GROUP BY 1, 2) GROUP BY 1""",
         "scored", "contracts")
+
+    for name in ("logistic", "forest", "deep_forest", "gbt", "deep_gbt", "mlp", "tanh_network"):
+        add(f"train_{name}", "SELECT cntrID, cntr_result AS label, 1 AS valid_probability, "
+            "1 AS prediction_follows, 1 AS better_than_share FROM valid_", "valid_")
+    cuts = " + ".join(f"CAST(coalesce(v, 0) >= {i} / 20.0::DOUBLE AS INTEGER)"
+                      for i in range(1, 20))
+    gains = f"""
+        SELECT variable, bin, gl, hl, g - gl AS gr, h - hl AS hr,
+               gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain
+        FROM (SELECT variable, bin, sum(g) OVER up_to AS gl, sum(h) OVER up_to AS hl,
+                     sum(g) OVER (PARTITION BY variable) AS g,
+                     sum(h) OVER (PARTITION BY variable) AS h
+              FROM (SELECT variable, {cuts} AS bin, sum(0.5 - cntr_result)::DOUBLE AS g,
+                           count(*) * 0.25::DOUBLE AS h
+                    FROM ({long(CLEAN_SHARES, 'clean_', 'cntr_result')}) GROUP BY 1, 2)
+              WINDOW up_to AS (PARTITION BY variable ORDER BY bin))
+        WHERE hl >= 1 AND h - hl >= 1"""
+    add("boosting_split_gains", "SELECT variable, bin, "
+        + rounded(("gl", "hl", "gr", "hr", "gain")) + f" FROM ({gains})", "clean_")
+    add("boosting_first_split", f"SELECT variable, bin, {r('gain', 'gain')} FROM ({gains}) "
+        f"ORDER BY round(gain, 9) DESC, list_position({list(CLEAN_SHARES)}, variable), bin LIMIT 1",
+        "clean_")
     return q
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
@@ -10,7 +12,7 @@ from pyspark.sql.types import DoubleType
 from catalog.stages import SAMPLE_MODE, full_facts, lazy_facts, scored_contracts, stages
 from tenderlens.functions.scalars import decimal_comma
 from tenderlens.operators import (
-    cleaning, codes, encode, entities, explore, features, flatten, labels, metrics, sample,
+    boosting, cleaning, codes, encode, entities, explore, features, flatten, labels, metrics, sample,
     similar, skew, splitting, territory, training, upsert,
 )
 from tenderlens.operators.entities import CUSTOMER, SUPPLIER
@@ -606,20 +608,28 @@ def cv_score_summary(spark, folder):
 
 # ---- models -------------------------------------------------------------------------------
 
-LOGISTIC = training.Classifier("LogReg", "LogReg", {"C": 2, "penalty": "l1", "max_iter": 30})
-FOREST = training.Classifier("RandForest", "RandForest",
-                             {"n_estimators": 20, "max_depth": 8, "max_features": 40})
-BOOSTING = training.Classifier("Boosting", "Boosting",
-                               {"n_estimators": 10, "max_depth": 3, "eta": 0.3,
-                                "subsample": 0.85})
-NETWORK = training.Classifier("Network", "Network", {"hidden": [60, 60, 60], "epochs": 30,
-                                                     "batch": 5000})
+LOGISTIC, _, FOREST, DEEP_FOREST, BOOSTING, DEEP_BOOSTING = training.FINALISTS
+SMALL_FOREST = training.Classifier("RandForest", "RandForest",
+                                   {"n_estimators": 20, "max_depth": 8, "max_features": 40})
+# Rounds follow each other, a job for every level: the registered query stops after these.
+ROUNDS = 10
 
 
 def _held_out(spark, folder, clf):
+    """Contracts held out with their label, and whether the model is sound: probabilities lie in
+    [0, 1], predictions follow from them, and on its training rows the model loses less than the
+    share of bad contracts would."""
     df, spec = _clean(spark, folder)
-    train, valid = splitting.train_valid_split(df)
-    return training.fit_classifier(clf, train, spec).predictions(valid)
+    train, valid = splitting.train_valid_split(df, mode="modulo")
+    fitted = training.fit_classifier(clf, train, spec)
+    loss = metrics.accuracy_and_loss(fitted.predictions(train)).first().log_loss
+    bad = train.agg(F.avg("cntr_result")).first()[0]
+    prior = -(bad * math.log(bad) + (1 - bad) * math.log(1 - bad))
+    return fitted.predictions(valid).select(
+        "cntrID", "label", F.col("probability").between(0, 1).cast("int").alias("valid_probability"),
+        # A forest votes for the first class at one half.
+        ((F.col("prediction") == (F.col("probability") >= 0.5).cast("int"))
+         | (F.abs(F.col("probability") - 0.5) < 1e-9)).cast("int").alias("prediction_follows"), F.lit(int(loss < prior)).alias("better_than_share"))
 
 
 @query
@@ -632,14 +642,55 @@ def train_forest(spark, folder):
     return _held_out(spark, folder, FOREST)
 
 
+@query
+def train_deep_forest(spark, folder):
+    return _held_out(spark, folder, DEEP_FOREST)
+
+
 @query
 def train_gbt(spark, folder):
-    return _held_out(spark, folder, BOOSTING)
+    return _held_out(spark, folder, replace(
+        BOOSTING, params={**BOOSTING.params, "n_estimators": ROUNDS, "eta": 0.3}))
+
+
+@query
+def train_deep_gbt(spark, folder):
+    return _held_out(spark, folder, replace(
+        DEEP_BOOSTING, params={**DEEP_BOOSTING.params, "n_estimators": ROUNDS}))
 
 
 @query
 def train_mlp(spark, folder):
-    return _held_out(spark, folder, NETWORK)
+    return _held_out(spark, folder, training.NETWORKS[0])
+
+
+@query
+def train_tanh_network(spark, folder):
+    return _held_out(spark, folder, training.NETWORKS[1])
+
+
+def _first_splits(spark, folder):
+    """Sums and gain of every split of the root at fixed cuts of the shares, and their names."""
+    df, spec = _clean(spark, folder)
+    x = F.array(*(F.coalesce(c, F.lit(0.0)) for c in spec.shares))
+    cuts = [[i / 20 for i in range(1, 20)]] * len(spec.shares)
+    rows = boosting.binned(df.select("cntr_result", x.alias("x")), cuts).select(
+        F.lit(0).alias("node"), (0.5 - F.col("cntr_result")).alias("g"), F.lit(0.25).alias("h"),
+        "bins")
+    name = F.array(*map(F.lit, spec.shares))[F.col("feature")].alias("variable")
+    return boosting.split_gains(boosting.histogram(rows), boosting.Boosting()), name
+
+
+@query
+def boosting_split_gains(spark, folder):
+    gains, name = _first_splits(spark, folder)
+    return rounded(gains.select(name, "bin", "gl", "hl", "gr", "hr", "gain"))
+
+
+@query
+def boosting_first_split(spark, folder):
+    gains, name = _first_splits(spark, folder)
+    return rounded(boosting.best_splits(gains).select(name, "bin", "gain"))
 
 
 @query
@@ -658,7 +709,7 @@ def holdout_validate(spark, folder):
 @query
 def feature_weights(spark, folder):
     df, spec = _clean(spark, folder)
-    fitted = [training.fit_classifier(c, df, spec) for c in (LOGISTIC, FOREST)]
+    fitted = [training.fit_classifier(c, df, spec) for c in (LOGISTIC, SMALL_FOREST)]
     return training.feature_weights(fitted, spark)
 
 
@@ -684,5 +735,5 @@ def batch_score(spark, folder):
     df, spec = _clean(spark, folder)
     path = f"{shared_folder(spark)}/tenderlens/model-{spark.sparkContext.applicationId}"
     train, _ = splitting.train_valid_split(df)
-    modelstore.save_model(spark, training.fit_classifier(FOREST, train, spec), path)
+    modelstore.save_model(spark, training.fit_classifier(SMALL_FOREST, train, spec), path)
     return modelstore.load_model(spark, path).predictions(df)

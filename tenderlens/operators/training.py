@@ -1,4 +1,4 @@
-"""Classifiers, cross-validation, hold-out validation and parameter search on Spark ML."""
+"""Classifiers, cross-validation, hold-out validation and parameter search."""
 
 from __future__ import annotations
 
@@ -9,15 +9,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import (
     DoubleType, IntegerType, StringType, StructField, StructType,
 )
 
-from tenderlens.operators import encode, metrics
+from tenderlens.operators import boosting, encode, metrics, network
 from tenderlens.operators.splitting import SEED, stratified_folds
 from tenderlens.settings import LABEL, ROW_ID, FeatureSpec
 from tenderlens.sources.staging import small_table, stage
@@ -51,8 +49,17 @@ FINALISTS = (
                {"eta": 0.5, "gamma": 0.7, "max_depth": 6, "n_estimators": 600,
                 "subsample": 0.9}),
 )
-NETWORK = Classifier("Network", "NN-60x4", {"hidden": [60, 60, 60, 60], "epochs": 10,
-                                            "batch": 5000})
+# The networks compared, by hidden layers, activation and dropout.
+NETWORKS = tuple(
+    Classifier("Network", name, {"hidden": hidden, "activation": activation, "dropout": dropout,
+                                 "epochs": 10, "batch": 5000, "learning_rate": 0.01})
+    for name, hidden, activation, dropout in (
+        ("NN-4x60-relu", [60, 60, 60, 60], "relu", 0.0),
+        ("NN-4x60-tanh", [60, 60, 60, 60], "tanh", 0.0),
+        ("NN-4x60-tanh-dropout", [60, 60, 60, 60], "tanh", 0.5),
+        ("NN-3x150-tanh-dropout", [150, 150, 150], "tanh", 0.5),
+        ("NN-4x150-tanh-dropout", [150, 150, 150, 150], "tanh", 0.5),
+        ("NN-150-50-tanh-dropout", [150, 150, 100, 50], "tanh", 0.5)))
 
 
 def _depth(depth: int) -> int:
@@ -83,17 +90,26 @@ def estimator(clf: Classifier, rows: int, features: int):
             maxDepth=_depth(p.get("max_depth", 5)), impurity=p.get("criterion", "gini"),
             featureSubsetStrategy=subset if isinstance(subset, str)
             else str(_subset(subset, features)))
+    raise ValueError(f"unknown model type {clf.kind}")
+
+
+def fitted_model(clf: Classifier, data: DataFrame, rows: int, features: int):
+    """The model of a classifier fitted on (label, features and, if there is one, the row id)."""
+    p, key = clf.params, ROW_ID if ROW_ID in data.columns else None
     if clf.kind == "Boosting":
-        # gamma bounds the loss gained by a split summed over rows, the gain here is per row.
-        return GBTClassifier(
-            labelCol=LABEL, seed=SEED, maxIter=p.get("n_estimators", 100),
-            stepSize=p.get("eta", 0.3), maxDepth=_depth(p.get("max_depth", 6)),
-            minInfoGain=p.get("gamma", 0.0) / max(rows, 1), subsamplingRate=p.get("subsample", 1.0))
+        wanted = boosting.Boosting(
+            rounds=p.get("n_estimators", 100), eta=p.get("eta", 0.3),
+            max_depth=_depth(p.get("max_depth", 6)), gamma=p.get("gamma", 0.0),
+            subsample=p.get("subsample", 1.0), reg_lambda=p.get("reg_lambda", 1.0),
+            least_hessian=p.get("min_child_weight", 1.0), seed=SEED)
+        return boosting.fit(data, LABEL, wanted, key=key)
     if clf.kind == "Network":
-        return MultilayerPerceptronClassifier(
-            labelCol=LABEL, seed=SEED, layers=[features, *p.get("hidden", [60]), 2],
-            maxIter=p.get("epochs", 10), blockSize=p.get("batch", 128))
-    raise ValueError(f"unknown model type {clf.kind}")
+        wanted = network.Network(
+            hidden=tuple(p.get("hidden", (60,))), activation=p.get("activation", "relu"),
+            dropout=p.get("dropout", 0.0), epochs=p.get("epochs", 10),
+            batch=p.get("batch", 5000), learning_rate=p.get("learning_rate", 0.01), seed=SEED)
+        return network.fit(data, LABEL, wanted, key=key)
+    return estimator(clf, rows, features).fit(data)
 
 
 @dataclass
@@ -122,11 +138,13 @@ def fit_classifier(clf: Classifier, train: DataFrame, spec: FeatureSpec) -> Fitt
     encoded = encode.transform(train, encoding)
     names = encode.feature_names(encoded)
     # Trainers pass over the data many times; a lost block is recomputed from the staged input.
-    data = encode.vectors(encoded).select(LABEL, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    key = [ROW_ID] if ROW_ID in encoded.columns else []
+    data = encode.vectors(encoded).select(*key, LABEL, "features").persist(
+        StorageLevel.MEMORY_AND_DISK)
     try:
         rows = data.count()
         start = time.time()
-        model = estimator(clf, rows, len(names)).fit(data)
+        model = fitted_model(clf, data, rows, len(names))
         return Fitted(clf, encoding, model, names, time.time() - start)
     finally:
         data.unpersist()

@@ -8,6 +8,8 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tenderlens.operators.boosting import Boosted
+from tenderlens.operators.network import Trained
 from tenderlens.operators.training import Classifier, Fitted
 from tenderlens.sources.staging import small_table
 
@@ -15,6 +17,8 @@ PARAMS = StructType([
     StructField("part", StringType()), StructField("variable", StringType()),
     StructField("key", StringType()), StructField("value", DoubleType())])
 META = StructType([StructField("meta", StringType())])
+#: Models that are stored as one line of JSON, the others by Spark ML.
+OWN_MODELS = {"Boosting": Boosted, "Network": Trained}
 
 
 def params_table(spark: SparkSession, encoding: dict) -> DataFrame:
@@ -59,7 +63,11 @@ def load_params(spark: SparkSession, path: str) -> dict:
 
 def save_model(spark: SparkSession, fitted: Fitted, path: str) -> None:
     """Model, encoding and description under one folder."""
-    fitted.model.write().overwrite().save(f"{path}/model")
+    if fitted.clf.kind in OWN_MODELS:
+        small_table(spark, [(fitted.model.to_json(),)], META).coalesce(1) \
+            .write.mode("overwrite").text(f"{path}/model")
+    else:
+        fitted.model.write().overwrite().save(f"{path}/model")
     save_params(spark, fitted.encoding, f"{path}/params")
     meta = json.dumps({"kind": fitted.clf.kind, "short_name": fitted.clf.short_name,
                        "params": fitted.clf.params, "names": fitted.names,
@@ -69,7 +77,10 @@ def save_model(spark: SparkSession, fitted: Fitted, path: str) -> None:
 
 def load_model(spark: SparkSession, path: str) -> Fitted:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
+    if meta["kind"] in OWN_MODELS:
+        model = OWN_MODELS[meta["kind"]].from_json(spark.read.text(f"{path}/model").first()[0])
+    else:
+        model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
     return Fitted(Classifier(meta["kind"], meta["short_name"], meta["params"]),
                   load_params(spark, f"{path}/params"), model, meta["names"], meta["fit_time"])
 

@@ -10,7 +10,7 @@ group, a deleted one a deficit of one, a replaced one both or neither; so depth-
 a budget of one each and reaches every word one edit away. Words of a leaf are verified.
 
 The trie is cut below its first levels into parts of at most ``PART`` words, as deep as the words
-at hand need; a word is searched for in every part its budget allows it to reach. Parts that stay
+and partitions at hand need; a word is searched for in every part its budget allows it to reach. Parts that stay
 larger at the deepest cut are dealt over blocks, against blocks of the words searched for. Roots
 are found by doubling: each round joins every word's target with that word's own.
 
@@ -36,7 +36,8 @@ MORE_FREQUENT = 5
 GROUPS = 16
 #: Levels that a cut of the trie may use; eight bits hold a count, larger ones share a part.
 DEEPEST = 7
-PART = 1 << 15
+#: Most words of a part; fewer where the cluster has more partitions than that gives parts.
+PART, LEAST_PART = 1 << 15, 1 << 10
 #: Code points of words that are compared as rows of an array; longer words one by one.
 WIDTH = 40
 #: Pairs that are verified at a time.
@@ -226,14 +227,19 @@ def part_sizes(found: DataFrame) -> DataFrame:
             .groupBy("depth", "part").agg(F.count("*").alias("size")))
 
 
-def dealt(found: DataFrame, part: int) -> DataFrame:
+def dealt(found: DataFrame, part: int | None) -> DataFrame:
     """Words as rows of the trie's parts and as queries to the parts they reach.
 
     (part, block, query_block, asked, word, n); both roles of a part meet in its blocks.
     """
     sizes = stage(part_sizes(found), "parts")
-    most = {r.depth: r.most for r in
-            sizes.groupBy("depth").agg(F.max("size").alias("most")).collect()}
+    rows = sizes.groupBy("depth").agg(F.max("size").alias("most"), F.sum("size").alias("all")) \
+        .collect()
+    most = {r.depth: r.most for r in rows}
+    if part is None:
+        partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        share = max((r["all"] for r in rows), default=0) // partitions
+        part = min(PART, max(LEAST_PART, share))
     depth = next((d for d in range(1, DEEPEST + 1) if most.get(d, 0) <= part), DEEPEST)
 
     def run(batches):
@@ -291,8 +297,11 @@ def _near_in_part(table: pa.Table) -> pa.Table:
                      "top": pa.array([index.texts[i] for i in top.tolist()], pa.string())})
 
 
-def neighbours(found: DataFrame, part: int = PART) -> DataFrame:
-    """(word, near, top, top_n) of the words that have near words among ``found`` (word, n)."""
+def neighbours(found: DataFrame, part: int | None = None) -> DataFrame:
+    """(word, near, top, top_n) of the words that have near words among ``found`` (word, n).
+
+    ``part`` bounds the words of a part; without it, an even share of them for each partition.
+    """
     def run(key, table):
         return _near_in_part(table)
 
@@ -324,7 +333,7 @@ def roots(forms: DataFrame) -> DataFrame:
 
 
 def variants(docs: DataFrame, key: str = "doc_id", text: str = "text",
-             least: int = LEAST_TIMES, part: int = PART) -> DataFrame:
+             least: int = LEAST_TIMES, part: int | None = None) -> DataFrame:
     """Every word with its form, the root of its group, and its counts."""
     found = stage(words(docs, key, text, least), "words")
     near = found.join(neighbours(found, part), "word", "left")

@@ -771,6 +771,11 @@ def _build() -> dict[str, str]:
     add("boosting_first_split", f"SELECT variable, bin, {r('gain', 'gain')} FROM ({gains}) "
         f"ORDER BY round(gain, 9) DESC, list_position({list(CLEAN_SHARES)}, variable), bin LIMIT 1",
         "clean_")
+    # A refreshed table is what counting from scratch gives.
+    for name in ("sup_stats", "org_stats", "okpd_stats", "sup_okpd_contracts",
+                 "sup_org_contracts"):
+        q[f"refreshed_{name}"] = q[name]
+    q["refreshed_labels"] = q["contract_label"]
     return q
 
 

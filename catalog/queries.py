@@ -140,6 +140,38 @@ def sup_org_contracts(spark, folder):
     return codes.supplier_customer_contracts(lazy_facts(spark, folder))
 
 
+# Statistics that were loaded once, and refreshed after contracts were added and severed.
+
+@query
+def refreshed_labels(spark, folder):
+    return stages(spark, folder).refreshed.cntr_stats
+
+
+@query
+def refreshed_sup_stats(spark, folder):
+    return stages(spark, folder).refreshed.sup_stats
+
+
+@query
+def refreshed_org_stats(spark, folder):
+    return stages(spark, folder).refreshed.org_stats
+
+
+@query
+def refreshed_okpd_stats(spark, folder):
+    return stages(spark, folder).refreshed.okpd_stats
+
+
+@query
+def refreshed_sup_okpd_contracts(spark, folder):
+    return stages(spark, folder).refreshed.okpd_sup_stats
+
+
+@query
+def refreshed_sup_org_contracts(spark, folder):
+    return stages(spark, folder).refreshed.sup_org_stats
+
+
 @query
 def federal_subject(spark, folder):
     wh = lazy_facts(spark, folder).wh

@@ -6,6 +6,7 @@ and read by all later steps. Statistics of single operators do not use them.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -14,11 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tenderlens.operators.facts import Facts
 from tenderlens.operators.labels import contract_labels
 from tenderlens.operators.sample import Statistics, build_sample
+from tenderlens.plans.maintenance import StatisticsStore
 from tenderlens.plans.preparation import Prepared, prepare
 from tenderlens.plans.statistics import staged_statistics
 from tenderlens.session import configure
 from tenderlens.sources import star
-from tenderlens.sources.staging import stage
+from tenderlens.sources.schemas import SOURCE
+from tenderlens.sources.staging import shared_folder, stage
+from tenderlens.sources.warehouse import of_tables
 
 # Sampling by modulo, so that another engine can draw the same contracts.
 SAMPLE_MODE = "modulo"
@@ -59,6 +63,23 @@ class Stages:
     def statistics(self) -> Statistics:
         return self._once("statistics", lambda: staged_statistics(self.facts))
 
+    @property
+    def refreshed(self) -> Statistics:
+        """Statistics loaded from an earlier warehouse, with fewer contracts and without their
+        severances, and then refreshed by the contracts that have changed since."""
+        def build() -> Statistics:
+            now = star.load(self.spark, self.folder, execution=False, pmp=False)
+            earlier = {"contracts": now.contracts.filter("RefSignDate < 20000000"),
+                       "closures": now.closures.filter("RefTerminReason = 0")}
+            before = of_tables(self.spark, {n: earlier.get(n, getattr(now, n)) for n in SOURCE})
+            store = StatisticsStore.create(
+                self.spark, f"{shared_folder(self.spark)}/tenderlens/store-{uuid.uuid4().hex}")
+            store.refresh(before, star.SETTINGS)
+            store.refresh(now, star.SETTINGS)
+            return store.statistics(now, star.SETTINGS)
+
+        return self._once("refreshed", build)
+
     @property
     def sample(self) -> DataFrame:
         return self._once("sample", lambda: stage(

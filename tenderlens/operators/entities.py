@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tenderlens.functions.scalars import ratio, share
 from tenderlens.operators.facts import Facts
-from tenderlens.settings import FEDERAL_LEVEL, REGIONAL_LEVEL
+from tenderlens.settings import FEDERAL_LEVEL, REGIONAL_LEVEL, Settings
 from tenderlens.sources.warehouse import Warehouse
 
 
@@ -39,7 +39,12 @@ def everyone(wh: Warehouse, side: Side) -> DataFrame:
 
 
 def _onto_everyone(f: Facts, side: Side, stats: DataFrame, zero: tuple[str, ...]) -> DataFrame:
-    joined = everyone(f.wh, side).join(
+    return _onto_everyone_of(f.wh, side, stats, zero)
+
+
+def _onto_everyone_of(wh: Warehouse, side: Side, stats: DataFrame,
+                      zero: tuple[str, ...]) -> DataFrame:
+    joined = everyone(wh, side).join(
         stats.withColumnRenamed(side.fact_key, side.stats_key), side.stats_key, "left")
     return joined.fillna(0, subset=list(zero)) if zero else joined
 
@@ -102,21 +107,10 @@ def _contract_grain(f: Facts, side: Side, endings: bool = False,
 def average_penalty_share(f: Facts, distinct: bool = True) -> DataFrame:
     """Mean of the distinct accrual / price ratios of a supplier's finished contracts.
 
-    Equal accruals of a contract and equal (supplier, price) rows are folded before they meet;
-    the ratio set, which is all the mean depends on, stays whole.
+    The ratio set, which is all the mean depends on, stays whole.
     """
-    name = "sup_cntr_avg_penalty"
-    values = f.finished_values.filter("price > 0").select("cntrID", "supID", "price")
-    accruals = f.wh.penalties.filter("Accrual is not null").select(
-        F.col("RefContract").alias("cntrID"), "Accrual")
-    if distinct:
-        values, accruals = values.distinct(), accruals.distinct()
-    ratios = values.join(accruals, "cntrID").select(
-        "supID", ratio("Accrual", "price").alias("ratio"))
-    if distinct:
-        ratios = ratios.distinct()
-    means = ratios.groupBy("supID").agg(F.round(F.avg("ratio"), 3).alias(name))
-    return _onto_everyone(f, SUPPLIER, means, (name,))
+    ratios = penalty_ratios(f, distinct).select("supID", "ratio")
+    return mean_ratio(f.wh, ratios.distinct() if distinct else ratios)
 
 
 def no_penalty_share(f: Facts) -> DataFrame:
@@ -145,43 +139,86 @@ def severance_share(f: Facts, side: Side, decided_by: str) -> DataFrame:
                       .alias(SEVERANCE_NAMES[side.prefix, decided_by]))
 
 
-def _entity_sums(f: Facts, side: Side) -> DataFrame:
+def entity_grain(f: Facts, side: Side) -> DataFrame:
+    """One row per (contract, entity) with all that the entity's statistics are summed from."""
+    return _contract_grain(f, side, endings=True, penalties=side is SUPPLIER)
+
+
+def summed(side: Side) -> tuple[str, ...]:
+    """The columns of the grain that are summed per entity."""
+    names = ("n", "running", "good", "fed", "sub", "price", "priced", "supplier_severed",
+             "customer_severed")
+    return (*names, "clean") if side is SUPPLIER else names
+
+
+def from_sums(wh: Warehouse, side: Side, sums: DataFrame) -> DataFrame:
+    """Sums per entity onto the whole dimension, under the names of the statistics."""
     p = side.prefix
-    grain = _contract_grain(f, side, endings=True, penalties=side is SUPPLIER)
-    measures = [F.sum("n").alias(f"{p}_cntr_num")]
-    measures += [F.sum(c).alias(f"{p}_{c}_cntr_num") for c in ("running", "good", "fed", "sub")]
-    measures += [F.expr("cast(sum(price) div nullif(sum(priced), 0) as bigint)")
-                 .alias(f"{p}_cntr_avg_price"),
-                 F.sum("supplier_severed").alias("supplier_severed"),
-                 F.sum("customer_severed").alias("customer_severed")]
-    if side is SUPPLIER:
-        measures.append(F.sum("clean").alias("clean"))
-    sums = grain.groupBy(side.fact_key).agg(*measures)
-    counted = [c for c in sums.columns if c not in (side.fact_key, f"{p}_cntr_avg_price")]
-    return _onto_everyone(f, side, sums, tuple(counted))
+    counted = {"n": f"{p}_cntr_num"}
+    counted |= {c: f"{p}_{c}_cntr_num" for c in ("running", "good", "fed", "sub")}
+    price = F.expr("cast(price div nullif(priced, 0) as bigint)").alias(f"{p}_cntr_avg_price")
+    rest = [c for c in summed(side) if c not in (*counted, "price", "priced")]
+    sums = sums.select(side.fact_key, *(F.col(c).alias(name) for c, name in counted.items()),
+                       price, *rest)
+    return _onto_everyone_of(wh, side, sums, (*counted.values(), *rest))
 
 
-def supplier_stats(f: Facts) -> DataFrame:
-    """All supplier statistics from one pass over the fact plus the penalty ratios."""
-    sums = _entity_sums(f, SUPPLIER).join(average_penalty_share(f), "SupID")
+def _entity_sums(f: Facts, side: Side) -> DataFrame:
+    sums = entity_grain(f, side).groupBy(side.fact_key).agg(
+        *(F.sum(c).alias(c) for c in summed(side)))
+    return from_sums(f.wh, side, sums)
+
+
+def penalty_ratios(f: Facts, distinct: bool = True) -> DataFrame:
+    """(cntrID, supID, ratio) of accruals to prices of finished contracts.
+
+    Equal accruals of a contract and equal (supplier, price) rows are folded before they meet.
+    """
+    values = f.finished_values.filter("price > 0").select("cntrID", "supID", "price")
+    accruals = f.wh.penalties.filter("Accrual is not null").select(
+        F.col("RefContract").alias("cntrID"), "Accrual")
+    if distinct:
+        values, accruals = values.distinct(), accruals.distinct()
+    return values.join(accruals, "cntrID").select(
+        "cntrID", "supID", ratio("Accrual", "price").alias("ratio"))
+
+
+def mean_ratio(wh: Warehouse, ratios: DataFrame) -> DataFrame:
+    """Rounded mean of the (supID, ratio) rows onto all suppliers."""
+    name = "sup_cntr_avg_penalty"
+    means = ratios.groupBy("supID").agg(F.round(F.avg("ratio"), 3).alias(name))
+    return _onto_everyone_of(wh, SUPPLIER, means, (name,))
+
+
+def supplier_columns(sums: DataFrame, s: Settings) -> DataFrame:
     n = F.col("sup_cntr_num")
     return sums.select(
         "SupID", "sup_cntr_num", "sup_running_cntr_num", "sup_good_cntr_num",
         "sup_fed_cntr_num", "sup_sub_cntr_num",
         (n - F.col("sup_fed_cntr_num") - F.col("sup_sub_cntr_num")).alias("sup_mun_cntr_num"),
         "sup_cntr_avg_price", "sup_cntr_avg_penalty",
-        share("clean", n, f.s.int_division).alias("sup_no_pnl_share"),
-        share("supplier_severed", n, f.s.int_division).alias("sup_1s_sev"),
-        share("customer_severed", n, f.s.int_division).alias("sup_1s_org_sev"))
+        share("clean", n, s.int_division).alias("sup_no_pnl_share"),
+        share("supplier_severed", n, s.int_division).alias("sup_1s_sev"),
+        share("customer_severed", n, s.int_division).alias("sup_1s_org_sev"))
 
 
-def customer_stats(f: Facts) -> DataFrame:
-    """All customer statistics from one pass over the fact."""
+def customer_columns(sums: DataFrame, s: Settings) -> DataFrame:
     n = F.col("org_cntr_num")
-    return _entity_sums(f, CUSTOMER).select(
+    return sums.select(
         "OrgID", "org_cntr_num", "org_running_cntr_num", "org_good_cntr_num",
         "org_fed_cntr_num", "org_sub_cntr_num",
         (n - F.col("org_fed_cntr_num") - F.col("org_sub_cntr_num")).alias("org_mun_cntr_num"),
         "org_cntr_avg_price",
-        share("customer_severed", n, f.s.int_division).alias("org_1s_sev"),
-        share("supplier_severed", n, f.s.int_division).alias("org_1s_sup_sev"))
+        share("customer_severed", n, s.int_division).alias("org_1s_sev"),
+        share("supplier_severed", n, s.int_division).alias("org_1s_sup_sev"))
+
+
+def supplier_stats(f: Facts) -> DataFrame:
+    """All supplier statistics from one pass over the fact plus the penalty ratios."""
+    return supplier_columns(
+        _entity_sums(f, SUPPLIER).join(average_penalty_share(f), "SupID"), f.s)
+
+
+def customer_stats(f: Facts) -> DataFrame:
+    """All customer statistics from one pass over the fact."""
+    return customer_columns(_entity_sums(f, CUSTOMER), f.s)

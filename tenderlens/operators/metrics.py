@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenderlens.functions.scalars import ratio
-from tenderlens.operators.running import SLICES, totals_before
+from tenderlens.operators.running import totals_before
 
 EPSILON = 1e-15
 LABEL, PROBABILITY, PREDICTION = "label", "probability", "prediction"
@@ -27,26 +27,26 @@ def accuracy_and_loss(predictions: DataFrame) -> DataFrame:
     return predictions.agg(accuracy(), log_loss())
 
 
-def score_groups(predictions: DataFrame, slices: int = SLICES) -> DataFrame:
+def score_groups(predictions: DataFrame, ranges: int | None = None) -> DataFrame:
     """One row per distinct probability with its class counts and the counts above it."""
     groups = predictions.groupBy((-F.col(PROBABILITY)).alias("order")).agg(
         F.count(F.when(F.col(LABEL) == 1, 1)).alias("pos"),
         F.count(F.when(F.col(LABEL) == 0, 1)).alias("neg"))
-    return totals_before(groups, "order", ["pos", "neg"], slices)
+    return totals_before(groups, "order", ["pos", "neg"], ranges)
 
 
-def roc_auc(predictions: DataFrame, slices: int = SLICES) -> DataFrame:
+def roc_auc(predictions: DataFrame, ranges: int | None = None) -> DataFrame:
     """One row: exact area under the ROC curve, ties counted half."""
-    groups = score_groups(predictions, slices)
+    groups = score_groups(predictions, ranges)
     wins = F.sum(F.col("neg") * (F.col("pos_before") + F.col("pos") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return groups.agg(F.try_divide(wins, pairs).alias("roc_auc"))
 
 
-def roc_points(predictions: DataFrame, slices: int = SLICES) -> DataFrame:
+def roc_points(predictions: DataFrame, ranges: int | None = None) -> DataFrame:
     """(threshold, fpr, tpr): the start (0, 0) without threshold, then one row per distinct
     probability. The groups are staged, so the class totals need no second look at the input."""
-    groups = score_groups(predictions, slices)
+    groups = score_groups(predictions, ranges)
     classes = groups.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     points = groups.select(
         (-F.col("order")).alias("threshold"),

@@ -198,10 +198,12 @@ def test_hot_contract_on_both_sides_leaves_no_large_task(spark):
     assert len(dealt) == 16 and dealt[-1] < 3 * dealt[len(dealt) // 2]
 
 
-def test_totals_before_with_many_slices(spark, rows):
+@pytest.mark.parametrize("ranges", [None, 1, 16])
+def test_totals_before_in_ranges(spark, rows, ranges, monkeypatch):
+    monkeypatch.setattr(running, "RANGE_ROWS", 64)
     df = spark.range(1000).selectExpr("CAST(id * id % 1009 AS DOUBLE) AS o", "id AS n")
     df = df.groupBy("o").sum("n").withColumnRenamed("sum(n)", "n")
-    got = rows(running.totals_before(df, "o", ["n"], slices=16), "o", "n", "n_before")
+    got = rows(running.totals_before(df, "o", ["n"], ranges), "o", "n", "n_before")
     before = 0
     for _, n, b in got:
         assert b == before
@@ -229,6 +231,45 @@ def test_percentiles_equal_numpy(spark, accuracy):
             assert got[c, p] == pytest.approx(np.percentile(values, p * 100), rel=1e-12), (c, p)
 
 
+def test_ranges_follow_the_rows(spark, rows, monkeypatch):
+    """With more ranges than one task may order, their totals are ranged in turn."""
+    monkeypatch.setattr(running, "RANGE_ROWS", 5)
+    asked = []
+    frame = type(spark.range(1))
+    ranged = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange",
+                        lambda df, n, *c: asked.append(n) or ranged(df, n, *c))
+    df = spark.range(90).selectExpr("CAST(id AS DOUBLE) AS o", "1 AS n")
+    assert rows(running.totals_before(df, "o", ["n"]), "o", "n_before") == \
+        [(float(i), i) for i in range(90)]
+    assert asked[0] == 18 and len(asked) >= 2
+
+
+def test_brackets_are_narrowed_to_a_fixed_number(spark, monkeypatch):
+    """However many rows there are, no bracket that can be narrowed stays larger."""
+    left = {}
+    narrow = running._narrowed
+
+    def watched(values, brackets, counts, most, accuracy):
+        out = narrow(values, brackets, counts, most, accuracy)
+        left.update({c: [b for b in own] for c, own in out.items()})
+        return out
+
+    monkeypatch.setattr(running, "_narrowed", watched)
+    df = spark.range(40_000).selectExpr(
+        "CAST(id * 7919 % 40009 AS DOUBLE) AS a", "IF(id % 3 = 0, 5D, id * 1D) AS hot")
+    grid = [0.0, 0.2, 0.25, 0.9, 1.0]
+    got = {(r.variable, r.p): r.value for r in running.exact_percentiles(
+        df, ["a", "hot"], grid, 40).collect()}
+    pdf = df.toPandas()
+    for c in ("a", "hot"):
+        for p in grid:
+            assert got[c, p] == pytest.approx(np.percentile(pdf[c], p * 100), rel=1e-12), (c, p)
+        # What is left to order is few values, of which one may be that of very many rows.
+        assert all(pdf[c][pdf[c].between(b.low, b.high)].nunique() <= 400 for b in left[c])
+    assert any(b.inside > 13_000 for b in left["hot"])
+
+
 def test_percentiles_skip_missing_values(table, rows):
     df = table("a double, b double", [(1.0, None), (None, None), (3.0, None), (float("nan"), None)])
     assert rows(running.exact_percentiles(df, ["a", "b"], [0.5])) == [("a", 0.5, 2.0)]

@@ -13,8 +13,6 @@ RUNTIME = {
     # Split a skewed join even if the aggregation behind it then needs a shuffle of its own.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
-    # The territory walk is a recursive query; its depth is bounded, its row count is not.
-    "spark.sql.cteRecursionRowLimit": "-1",
 }
 
 

@@ -67,6 +67,23 @@ def test_territory_edges(warehouse, rows):
     assert got == [(1, 1), (2, 2), (10, 1), (20, 2), (100, 1)]
 
 
+def test_deep_chains_and_circles(warehouse, rows, monkeypatch):
+    """A chain of 1,000 in 11 rounds; circles of 1 and 300, and a chain that leads to one, have no
+    row."""
+    rounds = []
+    staged = territory.stage
+    monkeypatch.setattr(territory, "stage", lambda df, name: rounds.append(name) or staged(df, name))
+    chain = [(i, i - 1 if i > 1 else None) for i in range(1, 1001)]
+    wh = warehouse(territory=chain, fed_subject=[(1, "one"), (600, "six hundred")])
+    assert rows(territory.federal_subjects(wh)) == \
+        [(i, 1 if i < 600 else 600) for i in range(1, 1001)]
+    assert len(rounds) <= 12
+    circle = [(2000 + i, 2000 + (i + 1) % 300) for i in range(300)]
+    wh = warehouse(territory=[(1, None), (2, 1), (3, 3), (5000, 2000), *circle],
+                   fed_subject=[(1, "one")])
+    assert rows(territory.federal_subjects(wh)) == [(1, 1), (2, 1)]
+
+
 def test_parties_without_territory_get_null(warehouse, rows):
     wh = warehouse(territory=[(1, None), (10, 1)], fed_subject=[(1, "one")],
                    suppliers=[(5, 10), (6, None), (7, 404)], org=[(8, 1, 1)])

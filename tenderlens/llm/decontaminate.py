@@ -1,9 +1,10 @@
 """Benchmark decontamination by q-gram filtering and banded alignment.
 
 Texts are compared as UTF-8 bytes in lower case (by Unicode) with every run of ASCII white space as
-one space. A benchmark item is cut into windows of ``WINDOW`` bytes, half a window apart (a shorter
+one space. A benchmark item is cut into windows of ``WINDOW`` bytes, ``STRIDE`` apart (a shorter
 item is one window). A document leaks an item if some window lies in it within the edit budget,
-``BUDGET`` percent of the window's bytes.
+``BUDGET`` percent of the window's bytes. So an exact quote of ``WINDOW`` + ``STRIDE`` - 1 bytes
+(87) is surely found, wherever in the item it starts; a shorter one only if it covers a window.
 
 1. Q-gram lemma: a window of m bytes within e edits shares at least m + 1 - q - q * e of its
    ``GRAM``-byte grams with the place, all on diagonals that differ by at most e. Diagonals fall
@@ -35,9 +36,11 @@ from tenderlens.llm.texts import (
 
 U64 = np.uint64
 WINDOW = 80
+STRIDE = 8
 GRAM = 10
 BUDGET = 7.5
-INDEX_BYTES = 1 << 23
+# An index takes some 200 bytes for every byte of its items.
+INDEX_BYTES = 1 << 21
 SLICE = 1 << 20
 FILTER_BITS = 22
 
@@ -79,7 +82,7 @@ class Index:
             if len(text) < GRAM:
                 continue
             size = min(WINDOW, len(text))
-            starts = list(range(0, len(text) - size + 1, max(1, WINDOW // 2)))
+            starts = list(range(0, len(text) - size + 1, STRIDE))
             if starts[-1] != len(text) - size:
                 starts.append(len(text) - size)
             for s in starts:

@@ -39,6 +39,9 @@ from tenderlens.sources.staging import stage
 
 MIN_PAGES = 5
 MOST_LINKED = 0.5
+#: Elements nested deeper stand beside each other at this depth, as browsers do at some depth; what
+#: lies in a dropped one stays dropped, and no text is lost or moved.
+DEEPEST = 250
 
 # Elements of HTML by their part in the page.
 DROPPED = {
@@ -115,6 +118,9 @@ def parse(html: str) -> Node:
     stack, runs, linked = [root], [], [0, 0]
     link = 0
 
+    def holder():
+        return stack[min(len(stack) - 1, DEEPEST)]
+
     def close_run():
         text = " ".join("".join(runs).split())
         runs.clear()
@@ -122,7 +128,8 @@ def parse(html: str) -> Node:
             node = Node("#", text=text)
             node.chars, node.linked = len(text), min(linked[0], len(text))
             node.value = xxhash.xxh64_intdigest(text.encode(errors="replace")) >> 1
-            stack[-1].kids.append(node)
+            # Beyond the depth a run lies beside the element it stands in, unless that is dropped.
+            (stack[-1] if stack[-1].dropped else holder()).kids.append(node)
         linked[0] = 0
 
     def add(text):
@@ -190,7 +197,9 @@ def parse(html: str) -> Node:
         label = f"{name}.{'-'.join(names) or 'hidden'}" if names or furniture else name
         node = Node(label, furniture or name in DROPPED)
         node.named = named and not hidden and name not in DROPPED
-        stack[-1].kids.append(node)
+        if len(stack) > DEEPEST and stack[-1].dropped:
+            node.dropped, node.named = True, stack[-1].named
+        holder().kids.append(node)
         stack.append(node)
     close_run()
     _spare(root, False)
@@ -249,10 +258,22 @@ def _table(left: list[Node], right: list[Node]) -> list[list[int]]:
 
 
 def _pairs(left: list[Node], right: list[Node]) -> list[tuple[int, int]]:
-    """Index pairs of aligned children, in order."""
-    labels = [x.label for x in left]
-    if labels == [y.label for y in right] and len(set(labels)) == len(labels):
-        return [(i, i) for i in range(len(labels))]  # what the matching gives
+    """Index pairs of aligned children, in order. Equal labels at both ends are aligned first, the
+    rest by the matching, so long lists that differ in few places cost little."""
+    shorter, head, tail = min(len(left), len(right)), 0, 0
+    while head < shorter and left[head].label == right[head].label:
+        head += 1
+    while tail < shorter - head and left[-1 - tail].label == right[-1 - tail].label:
+        tail += 1
+    ends = [(i, i) for i in range(head)]
+    ends += [(len(left) - k, len(right) - k) for k in range(tail, 0, -1)]
+    if head + tail == shorter:
+        return ends
+    middle = _middle(left[head:len(left) - tail], right[head:len(right) - tail])
+    return ends[:head] + [(head + i, head + j) for i, j in middle] + ends[head:]
+
+
+def _middle(left: list[Node], right: list[Node]) -> list[tuple[int, int]]:
     rows, i, j, out = _table(left, right), len(left), len(right), []
     while i and j:
         if rows[i][j] == rows[i - 1][j]:

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tenderlens.settings import Settings
 from tenderlens.sources.staging import stage_all
-from tenderlens.sources.warehouse import Warehouse
+from tenderlens.sources.warehouse import Condition, Warehouse
 
 
-def recent(s: Settings) -> Column:
-    return F.col("RefSignDate") > s.init_date
+def recent(s: Settings) -> Condition:
+    return Condition("RefSignDate", after=s.init_date)
 
 
-def finished(s: Settings) -> Column:
-    return F.col("RefStage").isin(*s.finished_stages)
+def finished(s: Settings) -> Condition:
+    return Condition("RefStage", among=tuple(s.finished_stages))
 
 
 def finished_contracts(wh: Warehouse, s: Settings) -> DataFrame:
-    return wh.contracts.filter(finished(s) & recent(s))
+    return wh.where("contracts", finished(s), recent(s))
 
 
 class Facts:
@@ -70,8 +70,8 @@ def _recent_values(wh: Warehouse, s: Settings) -> DataFrame:
 
     The filters reach the scan of the contracts, so only recent ones are shuffled.
     """
-    contracts = wh.contracts.filter(recent(s)).select(
-        F.col("ID").alias("cntrID"), finished(s).alias("finished"))
+    contracts = wh.where("contracts", recent(s)).select(
+        F.col("ID").alias("cntrID"), finished(s).holds().alias("finished"))
     value = wh.value.select(
         F.col("ID").alias("valID"), F.col("RefContract").alias("cntrID"),
         F.col("RefSupplier").alias("supID"), F.col("RefOrg").alias("orgID"),

@@ -7,12 +7,15 @@ integer cents so that results do not depend on summation order.
 
 from __future__ import annotations
 
+from calendar import monthrange
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tenderlens.settings import Settings
 from tenderlens.sources.schemas import SOURCE
 from tenderlens.sources.staging import small_table
-from tenderlens.sources.warehouse import Warehouse
+from tenderlens.sources.warehouse import Condition, Warehouse
 
 # Order dates start in 1995, so "recent" starts in 1997 here.
 SETTINGS = Settings(init_date=19970000)
@@ -22,6 +25,9 @@ SEVERANCE_CODES = (8326974, 8326975, 8361022, 8361023, 8724082, 8724083)
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
+# The stage of a contract by the status of its order.
+STAGES, OTHER_STAGE = {"F": 3, "P": 4}, 2
+
 # Declared, so that opening a table reads no file footers.
 TABLES = {
     "region": "r_regionkey int, r_name string",
@@ -57,9 +63,32 @@ def _okpd_id() -> Column:
             + F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")).cast("int")
 
 
+def first_day_after(yyyymmdd: int) -> date:
+    """The first day whose number is greater; the number need not be that of a day."""
+    year, month, day = yyyymmdd // 10000, yyyymmdd // 100 % 100, yyyymmdd % 100
+    if month > 12:
+        return date(year + 1, 1, 1)
+    if month < 1:
+        return date(year, 1, 1)
+    return date(year, month, 1) + timedelta(days=min(day, monthrange(year, month)[1]))
+
+
+def orders_where(orders: DataFrame, conditions: tuple[Condition, ...]) -> DataFrame:
+    """Orders whose contracts may fulfil the conditions, by the columns as they are stored."""
+    for c in conditions:
+        if c.column == "RefSignDate" and c.after is not None:
+            orders = orders.filter(
+                f"o_orderdate >= TIMESTAMP_NTZ'{first_day_after(c.after)} 00:00:00'")
+        elif c.column == "RefStage" and c.among is not None and OTHER_STAGE not in c.among:
+            orders = orders.filter(F.col("o_orderstatus").isin(
+                *(status for status, stage in STAGES.items() if stage in c.among)))
+    return orders
+
+
 def contracts(orders: DataFrame, lines: DataFrame, execution: bool) -> DataFrame:
-    stage = (F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "P", 4)
-             .otherwise(2))
+    stage = F.lit(OTHER_STAGE)
+    for status, number in STAGES.items():
+        stage = F.when(F.col("o_orderstatus") == status, number).otherwise(stage)
     purchase = F.substring("o_orderpriority", 1, 1).cast("int")
     if execution:
         last_ship = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
@@ -181,4 +210,9 @@ def load(spark: SparkSession, root: str, execution: bool = True, pmp: bool = Tru
         "fed_subject": lambda: table("region").selectExpr("1000 + r_regionkey AS ID",
                                                           "r_name AS Name"),
     }
-    return Warehouse(spark, lambda name: builders[name]())
+    def where(name: str, conditions: tuple[Condition, ...]) -> DataFrame | None:
+        if name != "contracts":
+            return None
+        return contracts(orders_where(table("orders"), conditions), table("lineitem"), execution)
+
+    return Warehouse(spark, lambda name: builders[name](), where)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tenderlens.sources.schemas import SOURCE
 
@@ -25,6 +26,19 @@ WAREHOUSE_NAMES = {
 }
 
 
+@dataclass(frozen=True)
+class Condition:
+    """A condition on one column of a warehouse table: ``after`` (greater than) or ``among``."""
+
+    column: str
+    after: int | None = None
+    among: tuple[int, ...] | None = None
+
+    def holds(self) -> Column:
+        column = F.col(self.column)
+        return column > self.after if self.among is None else column.isin(*self.among)
+
+
 class Warehouse:
     """The twelve tables as attributes; each is opened when it is first asked for."""
 
@@ -41,9 +55,23 @@ class Warehouse:
     territory: DataFrame
     fed_subject: DataFrame
 
-    def __init__(self, spark: SparkSession, open_table: Callable[[str], DataFrame]):
+    def __init__(self, spark: SparkSession, open_table: Callable[[str], DataFrame],
+                 open_where: Callable[[str, tuple], DataFrame | None] | None = None):
         self.spark = spark
-        self._open = open_table
+        self._open, self._open_where = open_table, open_where
+
+    def where(self, name: str, *conditions: Condition) -> DataFrame:
+        """A table's rows under all conditions.
+
+        A source whose columns are not stored as they are read here may open the table with the
+        conditions in its own terms (``open_where``), so that they reach its scan; for the others
+        they are filters, which do so by themselves.
+        """
+        table = self._open_where(name, conditions) if self._open_where else None
+        table = getattr(self, name) if table is None else table
+        for condition in conditions:
+            table = table.filter(condition.holds())
+        return table
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SOURCE:

@@ -771,6 +771,19 @@ def _build() -> dict[str, str]:
     add("boosting_first_split", f"SELECT variable, bin, {r('gain', 'gain')} FROM ({gains}) "
         f"ORDER BY round(gain, 9) DESC, list_position({list(CLEAN_SHARES)}, variable), bin LIMIT 1",
         "clean_")
+    for name, trials in (("random_search", 2), ("guided_search", 10)):
+        add(name, "SELECT CAST(i AS INTEGER) AS trial, 1 AS in_space, 1 AS best_beats_share "
+            f"FROM range({trials}) t(i) WHERE EXISTS (FROM clean_)", "clean_")
+    add("best_so_far", """
+        SELECT trial, model, params, round(score, 6) AS score,
+               printf('New best: %.5f using %s', score, params) AS line
+        FROM (SELECT *, max(score) OVER (ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING
+                                         AND 1 PRECEDING) AS best
+              FROM (SELECT RefTypePurch + 1 AS trial, 'LogReg' AS model,
+                           printf('{"C": %d}', RefTypePurch) AS params,
+                           -(count(*) * 7919 % 1000) / 1000 AS score
+                    FROM contracts GROUP BY RefTypePurch))
+        WHERE best IS NULL OR score > best""", "contracts")
     # A refreshed table is what counting from scratch gives.
     for name in ("sup_stats", "org_stats", "okpd_stats", "sup_okpd_contracts",
                  "sup_org_contracts"):

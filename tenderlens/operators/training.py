@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 import time
 from concurrent.futures import ThreadPoolExecutor
@@ -150,13 +151,13 @@ def fit_classifier(clf: Classifier, train: DataFrame, spec: FeatureSpec) -> Fitt
         data.unpersist()
 
 
-def _score_parts(fitted: Fitted, train: DataFrame, test: DataFrame,
-                 scoring: tuple[str, ...]) -> tuple[dict, DataFrame]:
+def _score_parts(fitted: Fitted, train: DataFrame, test: DataFrame, scoring: tuple[str, ...],
+                 parts: tuple[str, ...] = ("train", "test")) -> tuple[dict, DataFrame]:
     # Narrow, and read by every metric.
     held_out = stage(fitted.predictions(test), "held_out")
     row = {"fit_time": fitted.fit_time}
-    for part, predictions in (("train", stage(fitted.predictions(train), "fitted")),
-                              ("test", held_out)):
+    for part in parts:
+        predictions = held_out if part == "test" else stage(fitted.predictions(train), "fitted")
         for metric, value in metrics.score(predictions, scoring).items():
             row[f"{part}_{metric}"] = value
     return row, held_out
@@ -170,7 +171,8 @@ def _score_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 
 def cross_validate(clf: Classifier, df: DataFrame, spec: FeatureSpec, k: int = 3,
-                   scoring: tuple[str, ...] = SCORING) -> tuple[DataFrame, DataFrame]:
+                   scoring: tuple[str, ...] = SCORING,
+                   parts: tuple[str, ...] = ("train", "test")) -> tuple[DataFrame, DataFrame]:
     """(scores per fold, out-of-fold predictions of all folds).
 
     Encoding and model are refitted per fold on the other folds. The folds are staged; the loop
@@ -182,7 +184,7 @@ def cross_validate(clf: Classifier, df: DataFrame, spec: FeatureSpec, k: int = 3
         train = folded.filter(F.col("fold") != i).drop("fold")
         test = folded.filter(F.col("fold") == i).drop("fold")
         fitted = fit_classifier(clf, train, spec)
-        row, predictions = _score_parts(fitted, train, test, scoring)
+        row, predictions = _score_parts(fitted, train, test, scoring, parts)
         rows.append({"model": clf.short_name, "fold": i, **row})
         predictions = predictions.withColumn("fold", F.lit(i))
         held_out = predictions if held_out is None else held_out.unionByName(predictions)
@@ -269,7 +271,7 @@ def random_search(df: DataFrame, spec: FeatureSpec, trials: int = 10, k: int = 2
     drawn = [draw_classifier(rng, space) for _ in range(trials)]
 
     def run(clf: Classifier) -> float:
-        scores, _ = cross_validate(clf, df, spec, k, ("neg_log_loss",))
+        scores, _ = cross_validate(clf, df, spec, k, ("neg_log_loss",), ("test",))
         return scores.agg(F.avg("test_neg_log_loss")).first()[0]
 
     with ThreadPoolExecutor(parallelism) as pool:
@@ -279,6 +281,82 @@ def random_search(df: DataFrame, spec: FeatureSpec, trials: int = 10, k: int = 2
     return small_table(df.sparkSession, rows, HISTORY)
 
 
+# ---- guided search ------------------------------------------------------------------------
+
+#: Trials drawn at random before proposals follow the history, the share of them that counts as
+#: good, and the draws among which a proposal is chosen.
+FIRST_TRIALS, GOOD_SHARE, DRAWS = 4, 0.25, 24
+
+
+def _near(value: float, other: float, domain: tuple) -> float:
+    """How close two numbers of a range are: a bell over a fifth of the range."""
+    width = (domain[1] - domain[0]) / 5 or 1.0
+    return math.exp(-0.5 * ((value - other) / width) ** 2)
+
+
+def _density(value, seen: list, domain) -> float:
+    """How often a parameter's value, or one near it, was seen; never 0."""
+    if isinstance(domain, list):
+        return (1 + sum(value == s for s in seen)) / (len(domain) + len(seen))
+    return (0.5 + sum(_near(value, s, domain) for s in seen)) / (1 + len(seen))
+
+
+def propose(history: list[tuple[Classifier, float]], rng: random.Random,
+            space: dict = SPACE) -> Classifier:
+    """The next classifier to try, from what was tried and how it scored.
+
+    The best quarter of the history is set against the rest. Of a number of random draws that is
+    taken whose model type and parameters are most typical of the good trials and least of the
+    others; parameters are compared with trials of their own type only.
+    """
+    if len(history) < FIRST_TRIALS:
+        return draw_classifier(rng, space)
+    ranked = sorted(history, key=lambda h: -h[1])
+    cut = max(1, math.ceil(GOOD_SHARE * len(ranked)))
+    good, rest = [c for c, _ in ranked[:cut]], [c for c, _ in ranked[cut:]]
+
+    def promise(clf: Classifier) -> float:
+        kinds = sorted(space)
+        out = math.log(_density(clf.kind, [c.kind for c in good], kinds)
+                       / _density(clf.kind, [c.kind for c in rest], kinds))
+        for name, domain in space[clf.kind].items():
+            sides = [[c.params[name] for c in side if c.kind == clf.kind] for side in (good, rest)]
+            out += math.log(_density(clf.params[name], sides[0], domain)
+                            / _density(clf.params[name], sides[1], domain))
+        return out
+
+    tried = {(c.kind, json.dumps(c.params, sort_keys=True)) for c, _ in history}
+    draws = [draw_classifier(rng, space) for _ in range(DRAWS)]
+    fresh = [c for c in draws if (c.kind, json.dumps(c.params, sort_keys=True)) not in tried]
+    return max(fresh or draws, key=promise)
+
+
+def guided_search(df: DataFrame, spec: FeatureSpec, trials: int = 10, k: int = 2,
+                  seed: int = SEED, space: dict = SPACE, done: DataFrame | None = None,
+                  keep=None) -> DataFrame:
+    """History as of ``random_search``; every trial is proposed from those before it.
+
+    ``done`` is the history of an earlier search with the same seed and space, which goes on behind
+    its last trial; ``keep`` is called with the history after every trial, so that a search that is
+    cut off loses one trial at most.
+    """
+    rows = [] if done is None else [tuple(r) for r in done.orderBy("trial").collect()]
+    history = [(Classifier(kind, kind, json.loads(params)), score)
+               for _, kind, params, score in rows]
+    # Folds are made once, so that trials are compared on the same ones.
+    df = stage(df, "searched")
+    for trial in range(len(rows), trials):
+        clf = propose(history, random.Random(seed * 7919 + trial), space)
+        clf = Classifier(clf.kind, clf.kind, shown_params(clf.params))
+        scores, _ = cross_validate(clf, df, spec, k, ("neg_log_loss",), ("test",))
+        score = scores.agg(F.avg("test_neg_log_loss")).first()[0]
+        history.append((clf, score))
+        rows.append((trial, clf.kind, json.dumps(clf.params), score))
+        if keep is not None:
+            keep(small_table(df.sparkSession, rows, HISTORY))
+    return small_table(df.sparkSession, rows, HISTORY)
+
+
 def best_so_far(history: DataFrame) -> DataFrame:
     """Trials that beat all earlier ones, with the line that was logged for them.
 

@@ -166,6 +166,40 @@ def test_search_history(spark, tmp_path, prepared):
         == sorted(map(tuple, history.collect()))
 
 
+def searched(seed, trials=60):
+    """Scores of a search whose best place is a boosting of depth 6 and eta near 0.3."""
+    def score(clf):
+        if clf.kind != "Boosting":
+            return -2.0
+        return -abs(clf.params["eta"] - 0.3) * 2 - abs(clf.params["max_depth"] - 6) / 10
+    history = []
+    for t in range(trials):
+        clf = training.propose(history, random.Random(seed * 7919 + t))
+        history.append((clf, score(clf)))
+    return [s for _, s in history]
+
+
+def test_proposals_follow_the_history():
+    """Later proposals are better than random ones, and the model type that is best is found."""
+    for seed in range(5):
+        guided = searched(seed)
+        assert sum(guided[-20:]) / 20 > sum(guided[:20]) / 20
+        assert sum(s > -2 for s in guided[-20:]) >= 15
+        assert max(guided) > -0.2
+    assert searched(1, 12) == searched(1, 12)
+
+
+def test_guided_search_goes_on(prepared, monkeypatch):
+    df, spec = prepared
+    space = {"LogReg": {"C": (0.1, 2.0, None), "penalty": ["l1", "l2"], "max_iter": [5]}}
+    kept = []
+    whole = training.guided_search(df, spec, trials=3, space=space, keep=kept.append)
+    assert [h.count() for h in kept] == [1, 2, 3]
+    again = training.guided_search(df, spec, trials=3, space=space, done=kept[0])
+    key = lambda h: [(r.trial, r.model, r.params) for r in h.orderBy("trial").collect()]
+    assert key(again) == key(whole) and key(kept[-1]) == key(whole)
+
+
 def test_best_so_far_logs_improvements_only(spark, tmp_path, table):
     history = table("trial int, model string, params string, score double",
                     [(0, "a", "{}", -0.5), (1, "b", "{}", -0.6), (2, "c", "{}", -0.3)])

@@ -7,9 +7,10 @@ between them. ``SPDX-License-Identifier`` is the phrase "spdx license identifier
 is parsed from the characters behind it to the end of its line. Operators in falling strength:
 WITH, AND, OR (any case). An expression that does not parse gives the identifiers it names.
 
-score: the share of alternatives that are known licences, over all expressions and phrases of the
-text, that is known / (known + unknown) identifiers; 0 without any. ``obligations`` lists the
-alternative sets of licences one may choose from ("apache-2.0+mit" means both hold).
+score: known / (known + unknown) identifiers, over all phrases of the text and the distinct identifiers
+of every expression; 0 without any. ``obligations`` lists the alternative sets of licences one may
+choose from ("apache-2.0+mit" means both hold). An expression of more than ``MOST_ALTERNATIVES`` sets
+is written as it is factored ("(isc|mit)+(apache-2.0|zlib)"); nothing else depends on their number.
 
 A null text is empty: no words, null first and last word, empty labels, score 0. Rows are judged
 one by one; null keys stay null; other columns are ignored.
@@ -57,8 +58,7 @@ FAMILIES = {
 }
 TAG = "spdx license identifier"
 STRENGTH = {"or": 1, "and": 2, "with": 3}
-# Alternatives of one expression that are written out; a larger expression is one alternative
-# made of all its licences. It bounds the text of a result, not what is found.
+# Sets of one expression that are written out one by one.
 MOST_ALTERNATIVES = 64
 
 SCHEMA = """doc_id long, n_words long, n_base long, first_word long, last_word long,
@@ -106,24 +106,61 @@ def postfix(tokens: list[str]) -> list[str] | None:
     return out + waiting[::-1]
 
 
-def alternatives(expression: list[str]) -> list[frozenset[str]]:
-    """The sets of licences one may choose from, of an expression in postfix order."""
-    stack: list[list[frozenset[str]]] = []
+class Choice:
+    """What an expression allows: its identifiers, the sets of licences one may choose from (None
+    if a product of them is too large to write out), and its factored form."""
+
+    def __init__(self, identifier: str):
+        self.kind, self.parts = "", [identifier]
+        self.identifiers, self.sets = {identifier}, [frozenset([identifier])]
+
+    def written(self) -> str:
+        joint = "+" if self.kind == "and" else "|"
+        return joint.join(sorted(set(self.parts)))
+
+    def _factors(self, kind: str) -> list[str]:
+        """Its parts as those of a larger expression of a kind."""
+        if self.kind in ("", kind):
+            return self.parts
+        return [self.written() if kind == "or" else f"({self.written()})"]
+
+    def joined(self, kind: str, other: Choice) -> Choice:
+        """Both by ``and`` or ``or``; takes the two over."""
+        self.parts = self._factors(kind)
+        self.parts += other._factors(kind)
+        self.kind = kind
+        self.identifiers |= other.identifiers
+        if self.sets is None or other.sets is None:
+            self.sets = None
+        elif kind == "or":
+            self.sets += other.sets
+        else:
+            left, right = (list(dict.fromkeys(x)) for x in (self.sets, other.sets))
+            self.sets = [a | b for a, b in product(left, right)] \
+                if len(left) * len(right) <= MOST_ALTERNATIVES else None
+        return self
+
+    def with_exception(self, other: Choice) -> Choice:
+        names = "+".join(sorted(other.identifiers))
+        if self.kind:
+            self.kind, self.parts = "", [f"({self.written()}) with {names}"]
+        else:
+            self.parts = [f"{self.parts[0]} with {names}"]
+        self.identifiers = {f"{x} with {names}" for x in self.identifiers}
+        if self.sets is not None:
+            self.sets = [frozenset(f"{x} with {names}" for x in a) for a in self.sets]
+        return self
+
+
+def evaluated(expression: list[str]) -> Choice:
+    """What an expression in postfix order allows."""
+    stack: list[Choice] = []
     for token in expression:
         if token not in STRENGTH:
-            stack.append([frozenset([token])])
+            stack.append(Choice(token))
             continue
         right, left = stack.pop(), stack.pop()
-        if token == "or":
-            found = left + right
-        elif token == "with":
-            names = "+".join(sorted(frozenset().union(*right)))
-            found = [frozenset(f"{x} with {names}" for x in a) for a in left]
-        else:
-            found = [a | b for a, b in product(left, right)] \
-                if len(left) * len(right) <= MOST_ALTERNATIVES \
-                else [frozenset().union(*left, *right)]
-        stack.append(list(dict.fromkeys(found)))
+        stack.append(left.with_exception(right) if token == "with" else left.joined(token, right))
     return stack[0]
 
 
@@ -135,7 +172,13 @@ def family(identifier: str) -> str | None:
 
 
 def expression_of(line: str) -> list[frozenset[str]]:
-    """Alternatives of the expression at the start of a line; plain text may follow it.
+    """Alternatives of the expression at the start of a line, if they are written out."""
+    choice = choice_of(line)
+    return list(dict.fromkeys(choice.sets or [])) if choice else []
+
+
+def choice_of(line: str) -> Choice | None:
+    """What the expression at the start of a line allows; plain text may follow it.
 
     It ends where an operand stands behind an operand or a character is neither.
     """
@@ -151,9 +194,10 @@ def expression_of(line: str) -> list[frozenset[str]]:
         tokens.pop()
     order = postfix(tokens) if tokens else []
     if order is None:
-        return [frozenset([t.lower()]) for t in tokens
-                if t not in "()" and t.lower() not in STRENGTH]
-    return alternatives(order) if order else []
+        # It does not parse: any of the identifiers that it names.
+        named = [t.lower() for t in tokens if t not in "()" and t.lower() not in STRENGTH]
+        order = named + ["or"] * (len(named) - 1)
+    return evaluated(order) if order else None
 
 
 @lru_cache(maxsize=1)
@@ -187,12 +231,15 @@ def scan(body: bytes) -> tuple:
             known += 1
     if tagged:
         for match in _tag.finditer(body):
-            for choice in expression_of(match[1].decode(errors="replace")):
-                for name in choice:
-                    label = family(name)
-                    known, unknown = known + (label is not None), unknown + (label is None)
-                    labels.add(label or name)
-                chosen.add("+".join(sorted(choice)))
+            choice = choice_of(match[1].decode(errors="replace"))
+            for name in choice.identifiers if choice else ():
+                label = family(name)
+                known, unknown = known + (label is not None), unknown + (label is None)
+                labels.add(label or name)
+            if choice and choice.sets is None:
+                chosen.add(choice.written())
+            elif choice:
+                chosen.update("+".join(sorted(a)) for a in choice.sets)
     first = last = None
     if places:
         first, last = text.count(" ", 0, places[0] + 1) - 1, \

@@ -17,7 +17,7 @@ from tenderlens.session import local_session
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 
-STAGES = ("facts", "statistics", "sample", "prepared", "clean")
+STAGES = ("facts", "statistics", "refreshed", "sample", "prepared", "clean")
 HEADLINE = (
     "contract_label", "paid_by_reason", "sup_contract_count", "sup_avg_price",
     "sup_avg_penalty_share", "sup_stats", "org_stats", "okpd_stats", "sup_okpd_contracts",
@@ -26,8 +26,9 @@ HEADLINE = (
     "rolled_up_rows", "flatten_contracts", "engineered_features", "clean_after_eda",
     "percentile_limits", "standardise", "woe_table", "woe_encode", "stratified_folds",
     "describe_numeric", "corr_matrix", "anova_f", "information_value", "histogram_clipped",
-    "roc_auc", "roc_points", "classification_report", "calibration_curve", "train_logistic",
-    "train_forest",
+    "roc_auc", "roc_points", "classification_report", "calibration_curve", "quantile_grid",
+    "sorted_series", "boosting_split_gains", "train_logistic", "train_forest", "train_gbt",
+    "train_mlp",
 )
 
 

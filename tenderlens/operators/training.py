@@ -133,15 +133,17 @@ class Fitted:
                                       ROW_ID if ROW_ID in df.columns else None)
 
 
-def fit_classifier(clf: Classifier, train: DataFrame, spec: FeatureSpec) -> Fitted:
-    """Fits encoding and model on the training rows alone."""
-    encoding = encode.fit(train, spec)
-    encoded = encode.transform(train, encoding)
-    names = encode.feature_names(encoded)
-    # Trainers pass over the data many times; a lost block is recomputed from the staged input.
+def encoded_rows(df: DataFrame, encoding: dict) -> tuple[DataFrame, list[str]]:
+    """(row id if there is one, label, features) and the names of the features."""
+    encoded = encode.transform(df, encoding)
     key = [ROW_ID] if ROW_ID in encoded.columns else []
-    data = encode.vectors(encoded).select(*key, LABEL, "features").persist(
-        StorageLevel.MEMORY_AND_DISK)
+    return encode.vectors(encoded).select(*key, LABEL, "features"), encode.feature_names(encoded)
+
+
+def fit_encoded(clf: Classifier, data: DataFrame, encoding: dict, names: list[str]) -> Fitted:
+    """Fits a model on encoded rows."""
+    # Trainers pass over the data many times; a lost block is recomputed from the staged input.
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = data.count()
         start = time.time()
@@ -151,18 +153,57 @@ def fit_classifier(clf: Classifier, train: DataFrame, spec: FeatureSpec) -> Fitt
         data.unpersist()
 
 
-def _score_parts(fitted: Fitted, train: DataFrame, test: DataFrame, scoring: tuple[str, ...],
-                 parts: tuple[str, ...] = ("train", "test")) -> tuple[dict, DataFrame]:
+def fit_classifier(clf: Classifier, train: DataFrame, spec: FeatureSpec) -> Fitted:
+    """Fits encoding and model on the training rows alone."""
+    encoding = encode.fit(train, spec)
+    data, names = encoded_rows(train, encoding)
+    return fit_encoded(clf, data, encoding, names)
+
+
+def _score_parts(fitted: Fitted, train: DataFrame, test: DataFrame,
+                 scoring: tuple[str, ...]) -> tuple[dict, DataFrame]:
     # Narrow, and read by every metric.
     held_out = stage(fitted.predictions(test), "held_out")
     row = {"fit_time": fitted.fit_time}
-    for part in parts:
-        predictions = held_out if part == "test" else stage(fitted.predictions(train), "fitted")
+    for part, predictions in (("train", stage(fitted.predictions(train), "fitted")),
+                              ("test", held_out)):
         for metric, value in metrics.score(predictions, scoring).items():
             row[f"{part}_{metric}"] = value
     return row, held_out
 
 
+@dataclass
+class Fold:
+    """The encoded training and test rows of one fold; the encoding knows the training rows only."""
+
+    encoding: dict
+    names: list[str]
+    train: DataFrame
+    test: DataFrame
+
+
+def encoded_folds(df: DataFrame, spec: FeatureSpec, k: int) -> list[Fold]:
+    """The folds of a search. They are encoded and written once, whatever the number of trials."""
+    folded, out = stage(stratified_folds(df, k), "folds"), []
+    for i in range(k):
+        train, test = (folded.filter(f"fold {sign} {i}").drop("fold") for sign in ("<>", "="))
+        encoding = encode.fit(train, spec)
+        rows, names = encoded_rows(train, encoding)
+        out.append(Fold(encoding, names, stage(rows, "fold_train"),
+                        stage(encoded_rows(test, encoding)[0], "fold_test")))
+    return out
+
+
+def trial_score(clf: Classifier, folds: list[Fold]) -> float:
+    """The mean negative log loss of a classifier on the test rows of all folds."""
+    scores = []
+    for fold in folds:
+        fitted = fit_encoded(clf, fold.train, fold.encoding, fold.names)
+        predictions = metrics.predictions_of(fitted.model.transform(fold.test), LABEL)
+        scores.append(metrics.score(predictions, ("neg_log_loss",))["neg_log_loss"])
+    return sum(scores) / len(scores)
+
+
 def _score_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
     numbers = [c for c in rows[0] if c not in ("model", "fold")]
     schema = StructType([StructField("model", StringType()), StructField("fold", IntegerType()),
@@ -171,8 +212,7 @@ def _score_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 
 def cross_validate(clf: Classifier, df: DataFrame, spec: FeatureSpec, k: int = 3,
-                   scoring: tuple[str, ...] = SCORING,
-                   parts: tuple[str, ...] = ("train", "test")) -> tuple[DataFrame, DataFrame]:
+                   scoring: tuple[str, ...] = SCORING) -> tuple[DataFrame, DataFrame]:
     """(scores per fold, out-of-fold predictions of all folds).
 
     Encoding and model are refitted per fold on the other folds. The folds are staged; the loop
@@ -184,7 +224,7 @@ def cross_validate(clf: Classifier, df: DataFrame, spec: FeatureSpec, k: int = 3
         train = folded.filter(F.col("fold") != i).drop("fold")
         test = folded.filter(F.col("fold") == i).drop("fold")
         fitted = fit_classifier(clf, train, spec)
-        row, predictions = _score_parts(fitted, train, test, scoring, parts)
+        row, predictions = _score_parts(fitted, train, test, scoring)
         rows.append({"model": clf.short_name, "fold": i, **row})
         predictions = predictions.withColumn("fold", F.lit(i))
         held_out = predictions if held_out is None else held_out.unionByName(predictions)
@@ -270,12 +310,9 @@ def random_search(df: DataFrame, spec: FeatureSpec, trials: int = 10, k: int = 2
     rng = random.Random(seed)
     drawn = [draw_classifier(rng, space) for _ in range(trials)]
 
-    def run(clf: Classifier) -> float:
-        scores, _ = cross_validate(clf, df, spec, k, ("neg_log_loss",), ("test",))
-        return scores.agg(F.avg("test_neg_log_loss")).first()[0]
-
+    folds = encoded_folds(df, spec, k)
     with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(run, drawn))
+        results = list(pool.map(lambda clf: trial_score(clf, folds), drawn))
     rows = [(i, c.kind, json.dumps(shown_params(c.params)), s)
             for i, (c, s) in enumerate(zip(drawn, results))]
     return small_table(df.sparkSession, rows, HISTORY)
@@ -343,13 +380,11 @@ def guided_search(df: DataFrame, spec: FeatureSpec, trials: int = 10, k: int = 2
     rows = [] if done is None else [tuple(r) for r in done.orderBy("trial").collect()]
     history = [(Classifier(kind, kind, json.loads(params)), score)
                for _, kind, params, score in rows]
-    # Folds are made once, so that trials are compared on the same ones.
-    df = stage(df, "searched")
+    folds = encoded_folds(df, spec, k)
     for trial in range(len(rows), trials):
         clf = propose(history, random.Random(seed * 7919 + trial), space)
         clf = Classifier(clf.kind, clf.kind, shown_params(clf.params))
-        scores, _ = cross_validate(clf, df, spec, k, ("neg_log_loss",), ("test",))
-        score = scores.agg(F.avg("test_neg_log_loss")).first()[0]
+        score = trial_score(clf, folds)
         history.append((clf, score))
         rows.append((trial, clf.kind, json.dumps(clf.params), score))
         if keep is not None:

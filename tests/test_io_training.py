@@ -166,6 +166,14 @@ def test_search_history(spark, tmp_path, prepared):
         == sorted(map(tuple, history.collect()))
 
 
+def test_trials_score_as_cross_validation(prepared):
+    df, spec = prepared
+    clf = training.Classifier("LogReg", "lr", {"C": 1, "penalty": "l2", "max_iter": 10})
+    scores, _ = training.cross_validate(clf, df, spec, 2, ("neg_log_loss",))
+    assert training.trial_score(clf, training.encoded_folds(df, spec, 2)) == pytest.approx(
+        scores.agg({"test_neg_log_loss": "avg"}).first()[0], rel=1e-6)
+
+
 def searched(seed, trials=60):
     """Scores of a search whose best place is a boosting of depth 6 and eta near 0.3."""
     def score(clf):

@@ -55,6 +55,18 @@ def test_no_machine_local_stage_on_a_cluster():
         staging.shared_folder(Session())
 
 
+@pytest.mark.parametrize("folder", ["/mnt/shared", "file:///mnt/shared", "hdfs:///shared"])
+def test_stage_folder_of_a_cluster_is_taken_as_set(folder):
+    hadoop = type("H", (), {"get": lambda self, key, default=None: default})
+    java = type("J", (), {"hadoopConfiguration": lambda self: hadoop()})
+
+    class Session:
+        conf = type("Conf", (), {"get": lambda self, key, default=None: f"{folder}/"})()
+        sparkContext = type("C", (), {"master": "local-cluster[3,4,10240]", "_jsc": java()})()
+
+    assert staging.shared_folder(Session()) == folder
+
+
 def test_warehouse_folders_and_tables(spark, tmp_path, warehouse):
     made = warehouse(contracts=[(1, 3, 20170101, None, 1, "1")])
     for name in SOURCE:

@@ -5,7 +5,9 @@ import time
 
 import pytest
 
-from tenderlens.operators import flatten
+from pyspark.ml.linalg import Vectors
+
+from tenderlens.operators import flatten, training
 from tenderlens.session import configure
 from tenderlens.sources.staging import discard, passing, stage, stage_all
 
@@ -63,3 +65,17 @@ def test_rolled_up_rows_are_the_same_looked_up_and_shuffled(spark, most):
         "valID", "okpd2", "okpd_cntr_num", "sup_okpd_cntr_num").orderBy("valID").collect()
     assert [tuple(r) for r in got] == [
         (1, "10", 30, 5), (2, "10", 30, 5), (3, "10", 30, 0), (6, "20", 5, 4), (6, "20", 5, 4)]
+
+
+@pytest.mark.parametrize("most, wanted", [(200_000, 8), (5, 20)])
+def test_a_forest_has_as_many_partitions_as_cores_or_as_its_rows_need(
+        spark, monkeypatch, most, wanted):
+    """Histograms of all open nodes are shuffled by every partition."""
+    seen = []
+    monkeypatch.setattr(training, "FOREST_ROWS", most)
+    monkeypatch.setattr(training, "fitted_model",
+                        lambda clf, data, rows, n: seen.append((data.rdd.getNumPartitions(), rows)))
+    data = spark.createDataFrame([(i, i % 2, Vectors.dense([i])) for i in range(100)],
+                                 ["cntrID", "cntr_result", "features"]).repartition(50)
+    training.fit_encoded(training.Classifier("RandForest", "x"), data, {}, ["a"])
+    assert spark.sparkContext.defaultParallelism == 8 and seen == [(wanted, 100)]
